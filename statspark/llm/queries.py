@@ -3,17 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import chat, packing, quality, rules, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op2_simhash_golay": op2_simhash_golay}
-ORACLES: dict[str, str] = {}
+def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(extra)
+    out = chat.read_back(chat.format_trees(chat.chain(rows)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.apply_policy(rules.ledger(_table(spark, sf_dir, "documents")))
+    base = F.col("failed").bitwiseAND(F.lit(rules.mask(rules.BASE)).cast("long")) != 0
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
+
+
+def op6_window_countmin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_golay, op4_chat_trees, op5_rule_ledger, op6_window_countmin, op8_quality_gam, op9_cost_packing)}
+ORACLES: dict[str, str] = {"op4_chat_trees": chat.ORACLE, "op5_rule_ledger": rules.ORACLE}
