@@ -116,7 +116,7 @@ def candidates(t: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int
         b = m.end() - (len(token) - len(token.rstrip(_EDGE)))
         while k < len(marks) and marks[k][1] <= m.start():
             k += 1
-        touched = any(x < m.end() and m.start() < y for x, y in marks[k : k + 2])
+        touched = k < len(marks) and marks[k][0] < m.end()
         if b - a >= 6 and not touched and (sum("0" <= c <= "9" for c in t[a:b]) >= 4 or "@" in t[a:b]):
             out.append((a, b))
     return out
