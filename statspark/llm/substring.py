@@ -1,19 +1,21 @@
 """Removal of repeated word windows, with a count-min prefilter.
 
 Pass 1: every task sketches the hashes of its word windows (once for each
-document). A sketch has ROWS rows of counters that stop at two; tasks send only
-the counters they touched, cut into shards, and the shards are merged by
-addition. Count-min never underestimates, so a window in two documents always
-has all its counters at two.
+document). A sketch has ROWS rows of counters; tasks send only the counters they
+touched, cut into shards, and the shards are merged by addition. Count-min never
+underestimates, so a window of two documents has all its counters at two or more.
 
 Pass 2: windows whose estimate is two or more are grouped exactly by a 128-bit
-hash of their words, with the least doc_id as a map-side aggregate; all others
-are in one document only and are never shuffled.
-
-The merged sketch keeps one bit for each counter ("two or more") and is
-broadcast; ``max_width`` bounds it at ROWS * max_width / 8 bytes (128 MB by
-default). Below the bound its width follows the corpus. Its size only decides how
-many windows are grouped in pass 2, never the result.
+hash of their words, in one shuffle; all others are in one document only and are
+never shuffled. *Hot* windows, of which there may be as many as documents, are kept
+out of that shuffle: where the estimate reaches ``hot_from``, the least doc_id is
+aggregated on the map side in a pass of its own, and sent to all tasks. There are at
+most (windows / hot_from) of them, so at most HOT_KEYS.
+
+The merged sketch keeps one bit for each counter ("two or more") and is broadcast;
+``max_width`` bounds it at ROWS * max_width / 8 bytes (128 MB by default). Below
+the bound its width follows the corpus. Its size only decides how many windows are
+grouped in pass 2, never the result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store, text
@@ -36,6 +38,11 @@ SHARD = 1 << 22
 MAX_WIDTH = 1 << 29
 #: Window hashes that a task gathers before it sends a partial sketch.
 GATHER = 1 << 22
+#: Bytes of text taken up at a time: the arrays of a slice take about fifty times as much.
+SLICE = 1 << 20
+#: Windows in fewer documents than this are not hot; nor are more than HOT_KEYS ever.
+HOT_FROM = 1000
+HOT_KEYS = 1 << 20
 
 _U = np.uint64
 
@@ -72,8 +79,8 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
 
 
-def sketch(docs: DataFrame, column: str, k: int, bits: int) -> DataFrame:
-    """(shard, twice): merged shards, packed bits of the counters that reach two.
+def sketch(docs: DataFrame, column: str, k: int, bits: int, hot_from: int) -> DataFrame:
+    """(shard, twice, hot): merged shards, packed bits of the counters that reach two, and slots that reach ``hot_from``.
 
     Shard numbers run over the rows of the sketch one after the other.
     """
@@ -92,18 +99,20 @@ def sketch(docs: DataFrame, column: str, k: int, bits: int) -> DataFrame:
                 for s in range(per_row):
                     v, c = values[cuts[s] : cuts[s + 1]] - s * size, counts[cuts[s] : cuts[s + 1]]
                     if len(v):
-                        rows.append((row * per_row + s, _pack(v), _pack(v[c > 1])))
+                        many = c > 1
+                        rows.append((row * per_row + s, _pack(v), _pack(v[many]), zlib.compress((c[many] - 1).astype("<u4").tobytes(), 1)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "touched", "more"])
+                    cols = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["shard", "touched", "more", "extra"])
 
         n = 0
-        for b in text.slices(batches):
+        for b in text.slices(batches, most=SLICE):
             for _, _, _, h1, h2, _ in windows(b.column(0), k):
                 if not len(h1):
                     continue
                 _, once = np.unique(h1, return_index=True)
                 for row, s in enumerate(slots(h1[once], h2[once], bits)):
-                    held[row].append(s)
+                    held[row].append(s.astype(np.uint32))
                 n += len(once)
             if n >= GATHER:
                 yield from flush()
@@ -112,30 +121,130 @@ def sketch(docs: DataFrame, column: str, k: int, bits: int) -> DataFrame:
             yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counters = None, None
+        now, counters = None, np.zeros(0, dtype=np.uint32)
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(counters >= 2, bitorder="little").tobytes()], pa.binary())], names=["shard", "twice"])
+            bits_of = np.packbits(counters >= 2, bitorder="little").tobytes()
+            hot = np.flatnonzero(counters >= hot_from).astype("<u4").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits_of], pa.binary()), pa.array([hot], pa.binary())], names=["shard", "twice", "hot"])
 
         for b in batches:
-            for shard, touched, more in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for shard, touched, more, extra in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if shard != now:
                     if now is not None:
                         yield done()
-                    now, counters = shard, np.zeros(size, dtype=np.uint8)
-                for packed in (touched, more):
-                    v = _unpack(packed)
-                    counters[v] = np.minimum(counters[v] + 1, 2)
+                    now, counters = shard, np.zeros(size, dtype=np.uint32)
+                counters[_unpack(touched)] += 1
+                counters[_unpack(more)] += np.frombuffer(zlib.decompress(extra), dtype="<u4")
         if now is not None:
             yield done()
 
-    parts = docs.select(F.col(column).cast("string").alias("text")).mapInArrow(local, "shard int, touched binary, more binary")
+    parts = docs.select(F.col(column).cast("string").alias("text")).mapInArrow(local, "shard int, touched binary, more binary, extra binary")
     n = min(ROWS * per_row, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    merged = parts.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, twice binary")
+    merged = parts.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, twice binary, hot binary")
     return store.table(merged, "sketch")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", k: int = WINDOW, max_width: int = MAX_WIDTH) -> DataFrame:
+class Sketch:
+    """The merged sketch, as tasks look windows up in it."""
+
+    def __init__(self, merged: DataFrame, bits: int):
+        per_row, size = max(1, (1 << bits) // SHARD), min(SHARD, 1 << bits)
+        self.bits = bits
+        self.twice = np.zeros((ROWS, per_row * size // 8), dtype=np.uint8)
+        hot: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(ROWS)]
+        for r in merged.toLocalIterator():
+            row, s = divmod(r["shard"], per_row)
+            self.twice[row, s * size // 8 : (s + 1) * size // 8] = np.frombuffer(r["twice"], dtype=np.uint8)
+            hot[row].append(np.frombuffer(r["hot"], dtype="<u4").astype(np.int64) + s * size)
+        self.hot = [np.sort(np.concatenate(x)) for x in hot]
+
+    def repeated(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h1), dtype=bool)
+        for row, s in enumerate(slots(h1, h2, self.bits)):
+            out &= (self.twice[row][s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+    def is_hot(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h1), dtype=bool)
+        for row, s in enumerate(slots(h1, h2, self.bits)):
+            out &= np.isin(s, self.hot[row]) if len(self.hot[row]) else False
+        return out
+
+
+def _hot_least(rows: DataFrame, sent, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Both hashes and the least doc_id of hot windows, sorted by the first hash; at most HOT_KEYS or so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[tuple[int, int], int] = {}
+        for b in text.slices(batches, most=SLICE):
+            ids = b.column(0).to_pylist()
+            for i, _, _, h1, h2, _ in windows(b.column(1), k):
+                at = np.flatnonzero(sent.value.is_hot(h1, h2))
+                for key in zip(h1[at].view(np.int64).tolist(), h2[at].view(np.int64).tolist(), strict=True):
+                    if ids[i] < least.get(key, ids[i] + 1):
+                        least[key] = ids[i]
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in least], pa.int64()), pa.array([b for _, b in least], pa.int64()), pa.array(list(least.values()), pa.int64())], names=["h1", "h2", "d"])
+
+    found = rows.select("d", "text").mapInArrow(run, "h1 long, h2 long, d long").groupBy("h1", "h2").agg(F.min("d").alias("m")).collect()
+    found.sort(key=lambda r: r["h1"])
+    return tuple(np.array([r[c] for r in found], dtype=np.int64) for c in ("h1", "h2", "m"))
+
+
+def covered(rows: DataFrame, k: int, max_width: int, hot_from: int) -> DataFrame:
+    """(d, th, gone): window starts whose words a smaller doc_id has too, for each row that has some.
+
+    ``rows``: d (doc_id), th (hash of the text) and text. Rows of the same d and
+    th, which are repeated rows, are one.
+    """
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # About six bytes make a word; the next power of two from four counters a word.
+    bits = min(max(16, int(size // 6 * 4).bit_length()), max_width.bit_length() - 1)
+    # No document has more windows than words, nor more words than half its bytes.
+    hot_from = max(hot_from, size // 2 // HOT_KEYS)
+    merged = sketch(rows, "text", k, bits, hot_from)
+    own = Sketch(merged, bits)
+    sent = spark.sparkContext.broadcast(own)
+    hot1, hot2, hot_m = _hot_least(rows, sent, k) if all(len(x) for x in own.hot) else (np.zeros(0, dtype=np.int64),) * 3
+    hot = spark.sparkContext.broadcast((hot1, hot2, hot_m))
+    del own
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, (a1, a2, am) = sent.value, hot.value
+        for b in text.slices(batches, most=SLICE):
+            d, th = b.column(0).to_numpy(), b.column(1).to_numpy()
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for i, _, _, h1, h2, _ in windows(b.column(2), k):
+                at = np.flatnonzero(s.repeated(h1, h2)) if len(h1) else ()
+                if not len(at):
+                    continue
+                x1, x2 = h1[at].view(np.int64), h2[at].view(np.int64)
+                m = np.full(len(at), -1, dtype=np.int64)
+                known = np.zeros(len(at), dtype=bool)
+                if len(a1):
+                    for j in np.flatnonzero(s.is_hot(h1[at], h2[at])).tolist():
+                        for q in range(np.searchsorted(a1, x1[j]), len(a1)):
+                            if a1[q] != x1[j]:
+                                break
+                            if a2[q] == x2[j]:
+                                known[j], m[j] = True, am[q]
+                    # A hot window is settled here; its key is replaced, so that its rows spread.
+                    x1 = np.where(known, text.mix((at + 1).astype(np.uint64) * np.uint64(th[i] & 0xFFFFFFFF | 1)).view(np.int64), x1)
+                    keep = ~known | (m < d[i])
+                    at, x1, x2, m, known = at[keep], x1[keep], x2[keep], m[keep], known[keep]
+                for col, v in zip(out, (x1, x2, np.full(len(at), d[i]), np.full(len(at), th[i]), at.astype(np.int32), known), strict=True):
+                    col.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h1", "h2", "d", "th", "pos", "settled"])
+
+    hits = rows.mapInArrow(emit, "h1 long, h2 long, d long, th long, pos int, settled boolean")
+    same = Window.partitionBy("h1", "h2")
+    cover = hits.withColumn("m", F.min("d").over(same)).filter(F.col("settled") | (F.col("d") > F.col("m")))
+    return cover.groupBy("d", "th").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", k: int = WINDOW, max_width: int = MAX_WIDTH, hot_from: int = HOT_FROM) -> DataFrame:
     """One row for each input row: (doc_id, n_words, n_removed, kept_text).
 
     A word is removed if a window of ``k`` words that covers it, as it stands in
@@ -146,70 +255,30 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", k: int
     words are kept whole. An empty table gives an empty result. Other
     columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # About six bytes make a word; the next power of two from four counters a word.
-    bits = min(max(16, int(size // 6 * 4).bit_length()), max_width.bit_length() - 1)
-    per_row, shard_bytes = max(1, (1 << bits) // SHARD), min(SHARD, 1 << bits) // 8
-    merged = sketch(rows, "text", k, bits)
-    filled = np.zeros((ROWS, per_row * shard_bytes), dtype=np.uint8)
-    for r in merged.toLocalIterator():
-        row, s = divmod(r["shard"], per_row)
-        filled[row, s * shard_bytes : (s + 1) * shard_bytes] = np.frombuffer(r["twice"], dtype=np.uint8)
-    sent = spark.sparkContext.broadcast(filled)
-    del filled
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = sent.value
-        empty = np.zeros(0, dtype=np.int64)
-        for b in text.slices(batches):
-            n_words, pos, first, second, texts = [], [], [], [], []
-            for _, starts, _, h1, h2, raw in windows(b.column(2), k):
-                at = empty
-                if len(h1):
-                    hit = np.ones(len(h1), dtype=bool)
-                    for row, s in enumerate(slots(h1, h2, bits)):
-                        hit &= (twice[row][s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)
-                    at = np.flatnonzero(hit)
-                n_words.append(len(starts))
-                pos.append(at.astype(np.int32))
-                first.append(h1[at].view(np.int64))
-                second.append(h2[at].view(np.int64))
-                texts.append(raw)
-            lengths = np.concatenate([[0], np.cumsum([len(p) for p in pos])]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(x))) for x in (pos, first, second)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), *lists, pa.array(texts, pa.binary()).cast(pa.string())], names=["rid", "doc_id", "n_words", "pos", "h1", "h2", "text"])
-
-    plan = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    marked = store.table(plan.mapInArrow(emit, "rid long, doc_id long, n_words long, pos array<int>, h1 array<long>, h2 array<long>, text string"), "windows")
-    store.drop(merged)
-    order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    hits = marked.filter(F.size("pos") > 0).select("rid", order.alias("d"), F.explode(F.arrays_zip("pos", "h1", "h2")).alias("x")).select("rid", "d", "x.pos", "x.h1", "x.h2")
-    least = hits.groupBy("h1", "h2").agg(F.min("d").alias("m"), F.max("d").alias("most")).filter("m < most").select(F.col("h1").alias("a"), F.col("h2").alias("b"), "m")
-    cover = hits.join(least, (hits.h1 == least.a) & (hits.h2 == least.b)).filter(F.col("d") > F.col("m")).select("rid", "pos")
-    gone = cover.groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("gone")).withColumnRenamed("rid", "g")
-    hit = marked.filter(F.size("pos") > 0).select("rid", "doc_id", "n_words", "text")
-    rest = marked.filter(F.size("pos") == 0).select("doc_id", "n_words", "text", F.lit(None).cast("array<int>").alias("gone"))
-    both = hit.join(gone, hit.rid == gone.g, "left").select("doc_id", "n_words", "text", "gone").unionByName(rest)
+    t = F.col(column).cast("string")
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(t).alias("th"), t.alias("text"))
+    gone = covered(rows, k, max_width, hot_from).withColumnsRenamed({"d": "gd", "th": "gt"})
+    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(t).alias("th"), t.alias("text"))
+    both = whole.join(gone, (F.col("d") == F.col("gd")) & (F.col("th") == F.col("gt")), "left").select("doc_id", "text", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text.slices(batches):
-            removed, kept = [], []
-            for raw, gone in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3), strict=True):
+            n_words, removed, kept = [], [], []
+            for raw, gone in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2), strict=True):
                 parts = (raw or b"").split()
+                n_words.append(len(parts))
                 n = 0
                 if gone.is_valid:
                     edge = np.zeros(len(parts) + 1, dtype=np.int64)
                     at = gone.values.to_numpy()
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + k, -1)
-                    covered = np.cumsum(edge[:-1]) > 0
-                    n = int(covered.sum())
-                    parts = [p for p, c in zip(parts, covered.tolist(), strict=True) if not c]
+                    inside = np.cumsum(edge[:-1]) > 0
+                    n = int(inside.sum())
+                    parts = [p for p, c in zip(parts, inside.tolist(), strict=True) if not c]
                 removed.append(n)
                 kept.append(b" ".join(parts))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     return both.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
