@@ -38,8 +38,10 @@ GROUP_TOKENS = 1 << 20
 END_ID = 0
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n. The linear term stands for the layers besides attention.
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
+#: Bytes of text whose chunks are looked up together.
+SLICE = 4 << 20
 #: Distinct chunks of text whose ids a worker remembers; beyond it, it starts anew.
-REMEMBER = 1 << 20
+REMEMBER = 1 << 19
 
 #: White space followed by a space: there, not every space starts a chunk.
 _UNEVEN = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}] "
@@ -74,15 +76,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ordinary = tiktoken.Encoding("chunks", pat_str=_PIECES, mergeable_ranks=_ranks(path), special_tokens={}).encode_ordinary
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
-    def chunk(self, value: str) -> np.ndarray:
+    def chunk(self, value: str) -> bytes:
         ids = self.known.get(value)
         if ids is None:
             if len(self.known) >= REMEMBER:
                 self.known.clear()
             found = self.tokenizer.encode(value, add_special_tokens=False).ids if "<|" in value else self.ordinary(value)
-            ids = np.array(found, dtype="<u4")
+            ids = np.array(found, dtype="<u4").tobytes()
             if len(value) <= 64:
                 self.known[value] = ids
         return ids
@@ -95,17 +97,17 @@ class Encoder:
         for_even = pc.dictionary_encode(split.flatten())
         codes = for_even.indices.to_numpy().astype(np.int64)
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-        table: list[np.ndarray] = [self.chunk(" " + x) for x in for_even.dictionary.to_pylist()]
+        table: list[bytes] = [self.chunk(" " + x) for x in for_even.dictionary.to_pylist()]
         heads: dict[str, int] = {}
 
         def own(value: str) -> int:
             if value not in heads:
                 heads[value] = len(table)
-                table.append(self.chunk(value) if value else np.zeros(0, dtype="<u4"))
+                table.append(self.chunk(value) if value else b"")
             return heads[value]
 
         end = len(table)
-        table.append(np.array([END_ID], dtype="<u4"))
+        table.append(np.array([END_ID], dtype="<u4").tobytes())
         parts, ends = [], np.zeros(len(column), dtype=np.int64)
         firsts = for_even.dictionary.take(pa.array(codes[bounds[:-1]])).to_pylist()
         for i, head in enumerate(firsts):
@@ -119,8 +121,8 @@ class Encoder:
             parts.append(np.array([end]))
             ends[i] = len(parts[-2]) + 1
         order = np.concatenate(parts)
-        sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
-        flat = np.concatenate(table)
+        sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
+        flat = np.frombuffer(b"".join(table), dtype="<u4")
         at = np.cumsum(sizes) - sizes
         n = sizes[order]
         stop = np.cumsum(n)
@@ -216,7 +218,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
             held = 0
             return out
 
-        for b in text.slices(batches):
+        for b in text.slices(batches, most=SLICE):
             every, ends = encoder(b.column(1))
             raw, begin = every.tobytes(), 0
             for d, stop in zip(b.column(0).to_pylist(), ends.tolist(), strict=True):

@@ -87,15 +87,15 @@ def propagate(rows: DataFrame, n_shards: int = N_SHARDS, max_rounds: int = MAX_R
             break
         may = asks.filter("target IS NOT NULL OR grp IS NULL").withColumn("to", F.coalesce("target", F.lit(-1)))
         ranked = gapless(may, ["shard", "to"], "rid", n, "rank")
-        went = F.col("shard")
-        at: dict[int, int] = {}
-        for (i, j), m in admitted.items():
-            went = F.when((F.col("shard") == i) & (F.col("to") == j) & (F.col("rank") < m), F.lit(j)).otherwise(went)
+        # A row of the plan moves the ranks [lo, hi) of a (shard, to); there are at most n_shards**2 + 2 * n_shards of them.
+        steps, at = [(i, j, 0, m, j) for (i, j), m in admitted.items()], {}
         for i, j, m in plan:
             a = at.get(i, 0)
-            went = F.when((F.col("shard") == i) & (F.col("to") == -1) & (F.col("rank") >= a) & (F.col("rank") < a + m), F.lit(j)).otherwise(went)
+            steps.append((i, -1, a, a + m, j))
             at[i] = a + m
-        moved = ranked.select("rid", "grp", went.cast("int").alias("shard"))
+        moves = rows.sparkSession.createDataFrame(steps, "ps int, pt int, lo long, hi long, dest int")
+        on = (F.col("shard") == F.col("ps")) & (F.col("to") == F.col("pt")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+        moved = ranked.join(F.broadcast(moves), on, "left").select("rid", "grp", F.coalesce("dest", "shard").cast("int").alias("shard"))
         new = store.table(moved.unionByName(asks.filter("target IS NULL AND grp IS NOT NULL").select("rid", "grp", "shard")), "shards")
         store.drop(state)
         store.drop(asks)
