@@ -76,9 +76,13 @@ def propagate(rows: DataFrame, n_shards: int = N_SHARDS, max_rounds: int = MAX_R
         spare = {r["shard"]: r["n"] for r in state.filter("grp IS NULL").groupBy("shard").agg(F.count("*").alias("n")).collect()}
         if not spare:
             break
-        held = state.filter("grp IS NOT NULL").groupBy("grp", "shard").agg(F.count("*").alias("n")).filter(F.col("shard").isin(list(spare)))
-        target = held.groupBy("grp").agg(F.max_by("shard", F.struct("n", F.xxhash64("grp", "shard"))).alias("target")).withColumnRenamed("grp", "g")
-        asks = state.join(target, state.grp == target.g, "left").withColumn("target", F.when((F.col("target") != F.col("shard")) & F.col("shard").isin(list(spare)), F.col("target"))).select("rid", "grp", "shard", "target")
+        held = state.filter("grp IS NOT NULL").groupBy("grp", "shard").agg(F.count("*").alias("n"))
+        is_open = F.col("shard").isin(list(spare))
+        best = held.filter(is_open).groupBy("grp").agg(F.max_by(F.struct(F.col("shard").alias("target"), "n"), F.struct("n", F.xxhash64("grp", "shard"))).alias("b"))
+        # Members leave a shard that has no unlinked row only for one that holds as many of them.
+        wish = held.join(best.select(F.col("grp").alias("g"), F.col("b.target").alias("target"), F.col("b.n").alias("most")), F.col("grp") == F.col("g"))
+        wish = wish.filter((F.col("shard") != F.col("target")) & (is_open | (F.col("n") <= F.col("most")))).select("g", F.col("shard").alias("s"), "target")
+        asks = state.join(wish, (state.grp == wish.g) & (state.shard == wish.s), "left").select("rid", "grp", "shard", "target")
         asks = store.table(asks, "asks")
         asked = {(r["shard"], r["target"]): r["n"] for r in asks.filter("target IS NOT NULL").groupBy("shard", "target").agg(F.count("*").alias("n")).collect()}
         admitted, plan = _admit(asked, spare, n_shards)
