@@ -100,8 +100,15 @@ def poisson_cdf(lam: float) -> list[float]:
 
 
 def poisson_draw(u: Column, lam: float = 1.0) -> Column:
-    """Poisson counts by inverting the distribution function at uniform values."""
-    return F.aggregate(F.array(*(F.lit(c) for c in poisson_cdf(lam))), F.lit(0).cast("long"), lambda n, c: n + (u >= c).cast("long"))
+    """Poisson counts by inverting the distribution function at uniform values.
+
+    ``u`` should be a column, not a deep expression: it is named once for each count.
+    """
+    cdf = poisson_cdf(lam)
+    out = F.when(u < cdf[0], F.lit(0).cast("long"))
+    for k, c in enumerate(cdf[1:], 1):
+        out = out.when(u < c, F.lit(k).cast("long"))
+    return out.otherwise(F.lit(len(cdf)).cast("long"))
 
 
 class Random:
@@ -112,7 +119,7 @@ class Random:
 
     def poisson(self, spark, lam: float, size: int) -> DataFrame:  # noqa: ANN001
         """(id, value): ``size`` Poisson draws."""
-        out = spark.range(size).select("id", poisson_draw(hash_uniform(self.seed, F.col("id")), lam).alias("value"))
+        out = spark.range(size).withColumn("u", hash_uniform(self.seed, F.col("id"))).select("id", poisson_draw(F.col("u"), lam).alias("value"))
         self.seed += 1
         return out
 

@@ -265,7 +265,7 @@ class Bootstrap:
                 return pd.DataFrame({"value": [float(stat(drawn))]})
 
             values = reps.groupBy("iter").applyInPandas(one, "value double")
-            point = df.withColumn("k", F.lit(1.0)).groupBy(F.lit(0)).applyInPandas(one, "value double").withColumnRenamed("value", "point")
+            point = df.withColumns({"k": F.lit(1.0), "iter": F.lit(0)}).groupBy("iter").applyInPandas(one, "value double").withColumnRenamed("value", "point")
         return self._interval(values.select("value"), point, None, None)
 
 
