@@ -178,11 +178,11 @@ class Bootstrap:
     def _auc_jackknife(self, rows: DataFrame) -> DataFrame:
         cells = rows.groupBy("s").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("n"))
         cum = running(cells, "s", ["p", "n"])
-        t = cum.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("p") * (F.col("cum_n") - F.col("n") / 2)).alias("U"))
+        t = cum.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"), F.sum(F.col("p") * (F.col("cum_n") - F.col("n") / 2)).alias("won"))
         each = rows.groupBy("s", "y", "w").agg(F.count("*").cast("double").alias("times"))
         x = each.join(cum.withColumnRenamed("s", "at"), F.col("s") == F.col("at")).crossJoin(F.broadcast(t))
-        below, above = F.col("cum_n") - F.col("n") / 2, F.col("P") - F.col("cum_p") + F.col("p") / 2
-        value = F.when(F.col("y") == 1, sdiv(F.col("U") - F.col("w") * below, (F.col("P") - F.col("w")) * F.col("N"))).otherwise(sdiv(F.col("U") - F.col("w") * above, F.col("P") * (F.col("N") - F.col("w"))))
+        below, above = F.col("cum_n") - F.col("n") / 2, F.col("all_p") - F.col("cum_p") + F.col("p") / 2
+        value = F.when(F.col("y") == 1, sdiv(F.col("won") - F.col("w") * below, (F.col("all_p") - F.col("w")) * F.col("all_n"))).otherwise(sdiv(F.col("won") - F.col("w") * above, F.col("all_p") * (F.col("all_n") - F.col("w"))))
         return x.select(value.alias("value"), "times").filter("value IS NOT NULL")
 
     def average_precision(self, df: DataFrame, key: str, y_true: str, y_score: str, weight: str | None = None) -> DataFrame:
@@ -220,10 +220,10 @@ class Bootstrap:
 
         def jack() -> DataFrame:
             w, y, e = F.col("w"), F.col("y"), (F.col("y") - F.col("s")) * (F.col("y") - F.col("s"))
-            t = rows.agg(F.sum("w").alias("W"), F.sum(w * y).alias("Y"), F.sum(w * y * y).alias("YY"), F.sum(w * e).alias("E"))
-            left = F.col("Y") - w * y
-            deviations = F.col("YY") - w * y * y - sdiv(left * left, F.col("W") - w)
-            return rows.crossJoin(F.broadcast(t)).select((1 - sdiv(F.col("E") - w * e, deviations)).alias("value"), F.lit(1.0).alias("times"))
+            t = rows.agg(F.sum("w").alias("all_w"), F.sum(w * y).alias("all_y"), F.sum(w * y * y).alias("all_yy"), F.sum(w * e).alias("all_e"))
+            left = F.col("all_y") - w * y
+            deviations = F.col("all_yy") - w * y * y - sdiv(left * left, F.col("all_w") - w)
+            return rows.crossJoin(F.broadcast(t)).select((1 - sdiv(F.col("all_e") - w * e, deviations)).alias("value"), F.lit(1.0).alias("times"))
 
         return self._metric(rows, key, lambda d, weight, by: M.r2(d, "y", "s", weight, by), "r2", jack)
 
