@@ -205,7 +205,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", length
     base = store.table(docs.withColumn(rid, F.monotonically_increasing_id()), "docs")
     rows = find(base.select(F.col(rid).alias("doc_id"), F.col(column).alias("text")), "doc_id", "text")
     spans = rows.select(F.col("doc_id").alias("__pii_d"), F.concat("base", "added").alias("__pii_s")).filter(F.size("__pii_s") > 0)
-    hit = base.join(spans, base[rid] == spans["__pii_d"])
+    joined = base.join(spans, base[rid] == spans["__pii_d"], "left")
     ends = F.sort_array(F.transform("__pii_s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -215,12 +215,12 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", length
         return F.struct(F.when(s["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
 
     new = F.aggregate(ends, start, step, lambda a: F.concat(a["out"], F.col(column).substr(a["at"] + 1, F.length(column))))
-    columns = docs.columns
-    changed = hit.withColumn(column, new)
+    changed = F.col("__pii_s").isNotNull()
+    out = joined.withColumn("__pii_new", F.when(changed, new).otherwise(F.col(column)))
+    columns = {c: F.col(c) for c in docs.columns} | {column: F.col("__pii_new")}
     if length in columns:
-        changed = changed.withColumn(length, F.length(column).cast(docs.schema[length].dataType))
-    same = base.join(spans.select("__pii_d"), base[rid] == F.col("__pii_d"), "left_anti")
-    return changed.select(*columns).unionByName(same.select(*columns))
+        columns[length] = F.when(changed, F.length("__pii_new")).otherwise(F.col(length)).cast(docs.schema[length].dataType)
+    return out.select(*(e.alias(c) for c, e in columns.items()))
 
 
 def sha(spans: list[tuple[str, int, int]]) -> str:
