@@ -79,6 +79,19 @@ def hash_uniform(seed: int, *keys: Column) -> Column:
     return h.bitwiseXOR(F.shiftright(h, 16)).cast("double") / float(2**32)
 
 
+def with_hash_uniform(df: DataFrame, out: str, seed: int, *keys: Column) -> DataFrame:
+    """Adds :func:`hash_uniform` as a column, one mixing round a projection, so that no step is written out twice in generated code."""
+    m, half = F.lit(2**32), F.lit(2**31)
+    a = keys[0].cast("long")
+    b = keys[1].cast("long") if len(keys) > 1 else F.lit(0).cast("long")
+    first = F.pmod((F.pmod(a, half) + 1) * F.lit(HASH_LOW), m) + F.pmod((F.pmod(F.shiftright(a, 31), half) + 1) * F.lit(HASH_HIGH), m)
+    df = df.withColumn(out, F.pmod(first + F.pmod((F.pmod(b, half) + 1) * F.lit(HASH_SECOND), m) + F.lit((seed * 40503 + 12345) % 2**32), m))
+    h = F.col(out)
+    for _ in range(2):
+        df = df.withColumn(out, F.pmod(h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(HASH_MIX), m))
+    return df.withColumn(out, h.bitwiseXOR(F.shiftright(h, 16)).cast("double") / float(2**32))
+
+
 def hash_uniform_sql(seed: int, a: str, b: str = "0") -> str:
     """The same as DuckDB SQL, for keys that are not negative."""
     part = lambda k, mul: f"((({k}) % 2147483648 + 1) * {mul}) % 4294967296"
@@ -119,7 +132,7 @@ class Random:
 
     def poisson(self, spark, lam: float, size: int) -> DataFrame:  # noqa: ANN001
         """(id, value): ``size`` Poisson draws."""
-        out = spark.range(size).withColumn("u", hash_uniform(self.seed, F.col("id"))).select("id", poisson_draw(F.col("u"), lam).alias("value"))
+        out = with_hash_uniform(spark.range(size), "u", self.seed, F.col("id")).select("id", poisson_draw(F.col("u"), lam).alias("value"))
         self.seed += 1
         return out
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import By, coerce, groups, join_groups, number, sdiv, truth
-from ..functions.numeric import hash_uniform, norm_cdf, norm_ppf, poisson_draw
+from ..functions.numeric import norm_cdf, norm_ppf, poisson_draw, with_hash_uniform
 from ..plans.prefix import running
 from . import metrics as M
 
@@ -98,11 +98,12 @@ class Bootstrap:
         """
         it = F.explode(F.sequence(F.lit(0), F.lit(self.iterations - 1))).alias("iter")
         if self.sampling_method == "poisson":
-            u = df.select("*", it).withColumn("__u", hash_uniform(self.seed, F.col(key), F.col("iter")))
+            u = with_hash_uniform(df.select("*", it), "__u", self.seed, F.col(key), F.col("iter"))
             return u.withColumn("k", poisson_draw(F.col("__u")).cast("double")).drop("__u")
         dense = running(df.withColumn("__one", F.lit(1)), key, ["__one"]).withColumn("__row", F.col("cum___one").cast("long") - 1).drop("__one", "cum___one")
         n = df.agg(F.count("*").alias("__n"))
-        draws = dense.select("__row", it).crossJoin(F.broadcast(n)).select(F.col("iter").alias("__it"), F.floor(hash_uniform(self.seed, F.col("__row"), F.col("iter")) * F.col("__n")).cast("long").alias("__pick"))
+        draws = with_hash_uniform(dense.select("__row", it), "__u", self.seed, F.col("__row"), F.col("iter")).crossJoin(F.broadcast(n))
+        draws = draws.select(F.col("iter").alias("__it"), F.floor(F.col("__u") * F.col("__n")).cast("long").alias("__pick"))
         drawn = draws.groupBy("__it", "__pick").agg(F.count("*").cast("double").alias("k"))
         return dense.join(drawn, F.col("__row") == F.col("__pick")).withColumn("iter", F.col("__it")).drop("__row", "__pick", "__it")
 
