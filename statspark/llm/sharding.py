@@ -82,14 +82,18 @@ def propagate(rows: DataFrame, n_shards: int = N_SHARDS, max_rounds: int = MAX_R
         # Members leave a shard that has no unlinked row only for one that holds as many of them.
         wish = held.join(best.select(F.col("grp").alias("g"), F.col("b.target").alias("target"), F.col("b.n").alias("most")), F.col("grp") == F.col("g"))
         wish = wish.filter((F.col("shard") != F.col("target")) & (is_open | (F.col("n") <= F.col("most")))).select("g", F.col("shard").alias("s"), "target")
-        asks = state.join(wish, (state.grp == wish.g) & (state.shard == wish.s), "left").select("rid", "grp", "shard", "target")
+        linked = state.filter("grp IS NOT NULL")
+        asks = linked.join(wish, (linked.grp == wish.g) & (linked.shard == wish.s), "left").select("rid", "grp", "shard", "target")
         asks = store.table(asks, "asks")
         asked = {(r["shard"], r["target"]): r["n"] for r in asks.filter("target IS NOT NULL").groupBy("shard", "target").agg(F.count("*").alias("n")).collect()}
         admitted, plan = _admit(asked, spare, n_shards)
         if not admitted:
             store.drop(asks)
             break
-        may = asks.filter("target IS NOT NULL OR grp IS NULL").withColumn("to", F.coalesce("target", F.lit(-1)))
+        # Only rows that may move are ranked: those that ask, and unlinked rows of shards that give some away.
+        gives = F.col("shard").isin([i for i, _, _ in plan]) if plan else F.lit(False)
+        free = state.filter("grp IS NULL")
+        may = asks.filter("target IS NOT NULL").withColumnRenamed("target", "to").unionByName(free.filter(gives).withColumn("to", F.lit(-1)))
         ranked = gapless(may, ["shard", "to"], "rid", n, "rank")
         # A row of the plan moves the ranks [lo, hi) of a (shard, to); there are at most n_shards**2 + 2 * n_shards of them.
         steps, at = [(i, j, 0, m, j) for (i, j), m in admitted.items()], {}
@@ -100,7 +104,8 @@ def propagate(rows: DataFrame, n_shards: int = N_SHARDS, max_rounds: int = MAX_R
         moves = rows.sparkSession.createDataFrame(steps, "ps int, pt int, lo long, hi long, dest int")
         on = (F.col("shard") == F.col("ps")) & (F.col("to") == F.col("pt")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
         moved = ranked.join(F.broadcast(moves), on, "left").select("rid", "grp", F.coalesce("dest", "shard").cast("int").alias("shard"))
-        new = store.table(moved.unionByName(asks.filter("target IS NULL AND grp IS NOT NULL").select("rid", "grp", "shard")), "shards")
+        stay = asks.filter("target IS NULL").select("rid", "grp", "shard").unionByName(free.filter(~gives).select("rid", "grp", "shard"))
+        new = store.table(moved.unionByName(stay), "shards")
         store.drop(state)
         store.drop(asks)
         state = new
