@@ -38,9 +38,11 @@ def truth(c: str | Column) -> Column:
 
 def coerce(df: DataFrame, by: By = None, weight: str | None = None, **values: Column) -> DataFrame:
     """Groups, the given values and the weight ``w`` (1.0 by default), without rows that miss any value."""
-    w = F.lit(1.0) if weight is None else number(weight)
+    # A weight w that cannot be null has been coerced before. A test of it would be pushed below whatever computes it.
+    clean = weight is None or weight == "w" and (df.schema[weight].dataType.simpleString() == "double" and not df.schema[weight].nullable)
+    w = F.lit(1.0) if weight is None else F.col(weight) if clean else number(weight)
     out = df.select(*groups(by), *(v.alias(k) for k, v in values.items()), w.alias("w"))
-    return out.dropna(subset=[*values, *([] if weight is None else ["w"])])
+    return out.dropna(subset=[*values, *([] if clean else ["w"])])
 
 
 def one_row_or_groups(df: DataFrame, by: By):  # noqa: ANN201

@@ -119,7 +119,7 @@ class Bootstrap:
 
     def _metric(self, rows: DataFrame, key: str, metric: Callable[..., DataFrame], name: str, jack: Callable[[], DataFrame]) -> DataFrame:
         """``rows``: key, w and what the metric reads; metric(df, weight=, by=) gives column ``name``."""
-        reps = metric(self.replicates(rows, key).withColumn("w", F.col("w") * F.col("k")), weight="w", by="iter")
+        reps = metric(self.replicates(rows, key).withColumn("w", F.coalesce("w", F.lit(0.0)) * F.col("k")), weight="w", by="iter")
         point = metric(rows, weight="w", by=None)
         return self._interval(reps.select(F.col(name).alias("value")), point.select(F.col(name).alias("point")), None, jack() if self.method == "BCa" else None)
 
@@ -143,7 +143,7 @@ class Bootstrap:
         """(metric, lower, point, upper) for the 27 measures."""
         rows = coerce(df, key, weight, y=truth(y_true), p=truth(y_pred))
         long = lambda d, by: M.to_long(M.confusion_matrix(d, "y", "p", beta, "w", by), by)
-        reps = long(self.replicates(rows, key).withColumn("w", F.col("w") * F.col("k")), "iter").select("metric", "value")
+        reps = long(self.replicates(rows, key).withColumn("w", F.coalesce("w", F.lit(0.0)) * F.col("k")), "iter").select("metric", "value")
         point = long(rows, None).withColumnRenamed("value", "point")
         jack = None
         if self.method == "BCa":
@@ -157,7 +157,7 @@ class Bootstrap:
         """(threshold, metric, lower, point, upper). BCa leaves each bin between thresholds out once, as all its rows are alike."""
         rows = coerce(df, key, weight, y=truth(y_true), s=number(y_score))
         sweep = lambda d, by: M.confusion_matrix_at_thresholds(d, "y", "s", thresholds, metrics, strategy, beta, "w", by)
-        reps = sweep(self.replicates(rows, key).withColumn("w", F.col("w") * F.col("k")), "iter").drop("iter")
+        reps = sweep(self.replicates(rows, key).withColumn("w", F.coalesce("w", F.lit(0.0)) * F.col("k")), "iter").drop("iter")
         point = sweep(rows, None).withColumnRenamed("value", "point")
         jack = self._bins(rows, ("y",), thresholds, sweep, ["threshold", "metric"]) if self.method == "BCa" else None
         return self._interval(reps, point, ["threshold", "metric"], jack)
@@ -237,7 +237,7 @@ class Bootstrap:
         """(threshold, lower, point, upper)."""
         rows = coerce(df, key, weight, s=number(y_score), a=truth(protected), b=truth(control))
         sweep = lambda d, by: M.adverse_impact_ratio_at_thresholds(d, "s", "a", "b", thresholds, "w", strategy, by).withColumnRenamed("air", "value")
-        reps = sweep(self.replicates(rows, key).withColumn("w", F.col("w") * F.col("k")), "iter").drop("iter")
+        reps = sweep(self.replicates(rows, key).withColumn("w", F.coalesce("w", F.lit(0.0)) * F.col("k")), "iter").drop("iter")
         point = sweep(rows, None).withColumnRenamed("value", "point")
         jack = self._bins(rows, ("a", "b"), thresholds, sweep, ["threshold"]) if self.method == "BCa" else None
         return self._interval(reps, point, "threshold", jack)
