@@ -5,8 +5,8 @@ document). A sketch has ROWS rows of counters; tasks send only the counters they
 touched, cut into shards, and the shards are merged by addition. Count-min never
 underestimates, so a window of two documents has all its counters at two or more.
 
-Pass 2: windows whose estimate is two or more are grouped exactly by a 128-bit
-hash of their words, in one shuffle; all others are in one document only and are
+Pass 2: windows whose estimate is two or more are grouped by a 96-bit hash of
+their words, in one shuffle; all others are in one document only and are
 never shuffled. *Hot* windows, of which there may be as many as documents, are kept
 out of that shuffle: where the estimate reaches ``hot_from``, the least doc_id is
 aggregated on the map side in a pass of its own, and sent to all tasks. There are at
@@ -214,7 +214,7 @@ def covered(rows: DataFrame, k: int, max_width: int, hot_from: int) -> DataFrame
         s, (a1, a2, am) = sent.value, hot.value
         for b in text.slices(batches, most=SLICE):
             d, th = b.column(0).to_numpy(), b.column(1).to_numpy()
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
             for i, _, _, h1, h2, _ in windows(b.column(2), k):
                 at = np.flatnonzero(s.repeated(h1, h2)) if len(h1) else ()
                 if not len(at):
@@ -233,15 +233,18 @@ def covered(rows: DataFrame, k: int, max_width: int, hot_from: int) -> DataFrame
                     x1 = np.where(known, text.mix((at + 1).astype(np.uint64) * np.uint64(th[i] & 0xFFFFFFFF | 1)).view(np.int64), x1)
                     keep = ~known | (m < d[i])
                     at, x1, x2, m, known = at[keep], x1[keep], x2[keep], m[keep], known[keep]
-                for col, v in zip(out, (x1, x2, np.full(len(at), d[i]), np.full(len(at), th[i]), at.astype(np.int32), known), strict=True):
+                # Half of the second hash is enough beside the first; a settled position is sent as its complement.
+                pos = np.where(known, ~at, at).astype(np.int32)
+                for col, v in zip(out, (x1, (x2 >> 32).astype(np.int32), np.full(len(at), d[i]), np.full(len(at), th[i]), pos), strict=True):
                     col.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h1", "h2", "d", "th", "pos", "settled"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h1", "h2", "d", "th", "pos"])
 
-    hits = rows.mapInArrow(emit, "h1 long, h2 long, d long, th long, pos int, settled boolean")
+    hits = rows.mapInArrow(emit, "h1 long, h2 int, d long, th long, pos int")
     same = Window.partitionBy("h1", "h2")
-    cover = hits.withColumn("m", F.min("d").over(same)).filter(F.col("settled") | (F.col("d") > F.col("m")))
-    return cover.groupBy("d", "th").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
+    cover = hits.withColumn("m", F.min("d").over(same)).filter((F.col("pos") < 0) | (F.col("d") > F.col("m")))
+    at = F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos"))
+    return cover.select("d", "th", at.alias("pos")).groupBy("d", "th").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", k: int = WINDOW, max_width: int = MAX_WIDTH, hot_from: int = HOT_FROM) -> DataFrame:
