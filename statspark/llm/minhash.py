@@ -1,0 +1,160 @@
+"""Near duplicates by the exact resemblance of word shingles, searched with MinHash bands.
+
+Two texts are linked if the Jaccard similarity of their sets of ``k``-word shingles is
+``similarity`` or more. BANDS keys of ROWS minima find candidates: a pair of similarity s
+shares none with probability (1 - s**ROWS)**BANDS, which is 5e-8 at 0.8 and less above.
+Candidates are settled by their whole sets, so no pair below the bound is linked.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import graph, store, text
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 32, 4
+#: Pairs for each member of a key up to which all pairs are compared at once.
+PAIRWISE = 32
+
+_RNG = np.random.default_rng(20_26)
+_MULTIPLY = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_FLIP = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+
+
+def normal(raw: bytes | None) -> bytes:
+    """The words of a text's UTF-8 bytes, one space apart; as in SimHash, only A-Z are lowered, only 0x20 and 0x09-0x0D split."""
+    return b" ".join((raw or b"").lower().split())
+
+
+def shingles(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of normal texts and the texts' starts (one more at the end). A text of 1 to ``k`` words has one, an empty one none."""
+    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    begin, end = text.words(data)
+    words = text.word_hashes(data, begin, end, text.BASES[0])
+    n = np.array([t.count(b" ") + 1 if t else 0 for t in texts], dtype=np.int64)
+    first = np.cumsum(n) - n
+    count = np.where(n > 0, np.maximum(n - k + 1, 1), 0)
+    starts = np.concatenate([[0], np.cumsum(count)])
+    at = np.arange(starts[-1]) - np.repeat(starts[:-1] - first, count)
+    return text.spans_hash(words, at, at + np.repeat(np.minimum(n, k), count), text.BASES[1]), starts
+
+
+def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) keys of texts that have a shingle each."""
+    out = np.zeros((len(starts) - 1, BANDS), dtype=np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(starts) - 1, band, dtype=np.uint64)
+        for p in range(band * ROWS, (band + 1) * ROWS):
+            key = text.mix(key * np.uint64(text.BASES[0]) + np.minimum.reduceat((hashes ^ _FLIP[p]) * _MULTIPLY[p], starts[:-1]))
+        out[:, band] = key
+    return out
+
+
+def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(rid, id, same, bands) from (rid, id, text): ``same`` is a digest of the words, ``bands`` the keys (none without a word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text.slices(batches):
+            texts = [normal(x) for x in b.column(2).cast(pa.binary()).to_pylist()]
+            some = [t for t in texts if t]
+            keys = iter(band_keys(*shingles(some, k)).view(np.int64) if some else ())
+            bands = pa.array([next(keys).tolist() if t else [] for t in texts], pa.list_(pa.int64()))
+            same = pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), same, bands], names=["rid", "id", "same", "bands"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("rid", "id", "text").mapInArrow(run, f"rid long, id {kind}, same binary, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(node, shingles) from (rid, text); each distinct shingle once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text.slices(batches):
+            h, starts = shingles([normal(x) for x in b.column(1).cast(pa.binary()).to_pylist()], k)
+            sets = [np.unique(h[a:z]).view(np.int64) for a, z in zip(starts, starts[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return docs.select("rid", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets are as similar."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(s)) for x, s in (("a", "of_u"), ("b", "of_v")))
+    both = pairs.join(a, F.col("u") == F.col("a")).join(b, F.col("v") == F.col("b"))
+    m, n = F.size("of_u"), F.size("of_v")
+    both = both.filter(F.least(m, n) / F.greatest(m, n) >= similarity).withColumn("common", F.size(F.array_intersect("of_u", "of_v")))
+    return both.filter(F.col("common") / (m + n - F.col("common")) >= similarity).select("u", "v")
+
+
+def components(shared: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
+    """(node, component) of linked nodes from written (key, v); None if nothing is linked.
+
+    All pairs of a key whose members are not yet in one component are compared.
+    While they are many, as thousands of near copies make, each key first
+    ties its members to one of them, another in each round; this only saves pairs
+    within components. The last step compares all that are left.
+    """
+    links = comp = None
+    found, turn = 1, 0
+    n_rows = shared.count()
+    while True:
+        label = shared.withColumn("c", F.col("v")) if comp is None else shared.join(comp, shared.v == comp.node, "left").select("key", "v", F.coalesce("component", "v").alias("c"))
+        label = store.table(label, "label")
+        counts = label.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("comps"))
+        left = counts.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
+        if not left:
+            return comp
+        last = left <= PAIRWISE * n_rows or not found
+        mixed = counts.filter("comps > 1").select(F.col("key").alias("k"))
+        some = label.join(mixed, F.col("key") == F.col("k"), "left_semi")
+        if last:
+            other = some.select(F.col("key").alias("k2"), F.col("v").alias("w"), F.col("c").alias("d"))
+            pairs = some.join(other, (F.col("key") == F.col("k2")) & (F.col("c") < F.col("d"))).select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v"))
+        else:
+            pivot = some.groupBy("key").agg(F.min_by(F.struct("v", "c"), F.struct(F.xxhash64("v", F.lit(turn)), "v")).alias("p")).select(F.col("key").alias("k2"), F.col("p.v").alias("w"), F.col("p.c").alias("d"))
+            pairs = some.join(pivot, F.col("key") == F.col("k2")).filter("c <> d").select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v"))
+        new = store.table(_similar(pairs.distinct(), sets, similarity), "links")
+        found, turn = new.count(), turn + 1
+        store.drop(label)
+        if found:
+            links = new if links is None else links.unionByName(new)
+            comp = store.table(graph.components(links), "components")
+        if last:
+            return comp
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Keeps one row of each component of near duplicates: the first by doc_id and then any.
+
+    All columns are returned as they are. Rows with equal words, or without any, are
+    near duplicates; null texts count as empty. Rows with a null doc_id come last
+    within a component. An empty table gives an empty one.
+    """
+    rid = "__nd_rid"
+    base = store.table(docs.withColumn(rid, F.monotonically_increasing_id()), "docs")
+    rows = base.select(F.col(rid).alias("rid"), F.col(doc_id).alias("id"), F.col(column).cast("string").alias("text"))
+    signed = store.table(signatures(rows, k), "signatures")
+    rank = F.min(F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("rid").alias("c"))).alias("r")
+    distinct = store.table(signed.groupBy("same").agg(F.min("rid").alias("rep"), rank, F.min_by("bands", "rid").alias("bands")), "distinct")
+    keys = distinct.select(F.col("rep").alias("v"), F.explode("bands").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k"))
+    shared = store.table(keys.join(sizes, keys.key == sizes.k, "left_semi").select("key", "v"), "shared")
+    members = store.table(shared.select(F.col("v").alias("m")).distinct(), "members")
+    sets = store.table(shingle_sets(rows.join(members, F.col("rid") == F.col("m"), "left_semi"), k), "sets")
+    comp = components(shared, sets, similarity)
+    first = distinct.select("rep", "r")
+    if comp is not None:
+        label = first.join(comp, first.rep == comp.node, "left").select("r", F.coalesce("component", "rep").alias("c"))
+        first = label.groupBy("c").agg(F.min("r").alias("r"))
+    kept = first.select(F.col("r.c").alias("kept"))
+    dropped = store.table(signed.select("rid").join(kept, F.col("rid") == F.col("kept"), "left_anti"), "dropped")
+    return base.join(dropped, base[rid] == dropped.rid, "left_anti").drop(rid)

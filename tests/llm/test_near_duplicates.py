@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statspark.llm import golay, graph, simhash
+from statspark.llm import golay, graph, minhash, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -80,3 +80,59 @@ def test_long_chains_and_loops(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000), (2000, 1999), (1999, 2000)]
     out = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert out == {i: 0 for i in range(201)} | {1999: 1999, 2000: 1999}
+
+
+def shingle_set(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def brute_first(rows):
+    """(doc_id, text) of the least doc_id of each component of 5-word Jaccard similarity 0.8 or more."""
+    sets = [shingle_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), (True, 0)), (d is None, d or 0))
+    return sorted((d, n) for n, d in least.values())
+
+
+@pytest.mark.parametrize("pairwise", [0, 32])
+def test_stage_keeps_one_of_five_word_neighbours(spark, monkeypatch, pairwise):
+    import corpus_pipeline
+
+    monkeypatch.setattr(minhash, "PAIRWISE", pairwise)
+    rng = random.Random(4)
+    rows = corpus()
+    for n in (30, 60, 110, 250, 900):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+        for i in range(8):
+            w = list(base)
+            for _ in range(i * n // 220 + 1):
+                w[rng.randrange(n)] = f"x{rng.randint(0, 5000)}"
+            rows.append((1000 + 10 * n + i, " ".join(w)))
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"rid": F.lit("clash"), "c": F.lit(1.5), "node": F.lit(0)})
+    out = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == sorted((n, d or 0) for d, n in brute_first(rows))
+    assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+def test_bands_find_pairs_at_the_bound():
+    rng = np.random.default_rng(3)
+    missed = 0
+    for _ in range(300):
+        common, a, b = (rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (80, 10, 10))
+        keys = minhash.band_keys(np.concatenate([common, a, common, b]), np.array([0, 90, 180]))
+        missed += not (keys[0] == keys[1]).any()
+    assert missed == 0
