@@ -4,7 +4,7 @@
    seeds. The seeds of one block of items are broadcast; the block's size
    bounds them, and larger benchmarks take more blocks.
 2. Windows of whole documents are joined with the seeds. A document and an item
-   that share one are compared.
+   that share one are compared. An item of fewer words is a seed as a whole.
 3. Tiling: seed matches are grown to maximal matches by comparing words; the
    longest that overlaps no marked words of either side is marked as a tile; this
    is repeated until none of MIN_MATCH words is left. So passages are
@@ -55,24 +55,28 @@ def _hashes(batch: list[list[str]], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Seeds:
-    """One block of the benchmark: item ids and words, and sorted seed hashes with their item and position."""
+    """One block of the benchmark: item ids and words, and sorted seed hashes of ``k`` words with their item and position."""
 
     ids: list[int]
     words: list[list[str]]
     hashes: np.ndarray
     item: np.ndarray
     pos: np.ndarray
+    k: int = MIN_MATCH
+    shorter: tuple[Seeds, ...] = ()
 
     @classmethod
     def of(cls, items: list[tuple[int, list[str]]], k: int = MIN_MATCH) -> Seeds:
-        """Items of fewer than ``k`` words are left out, as no tile fits in them."""
+        """Items of fewer than ``k`` words make seeds of their own length in ``shorter``; items without a word are left out."""
+        lengths = sorted({len(w) for _, w in items if 0 < len(w) < k})
+        shorter = tuple(cls.of([(i, w) for i, w in items if len(w) == n], n) for n in lengths)
         items = [(i, w) for i, w in items if len(w) >= k]
         ids, words = [i for i, _ in items], [w for _, w in items]
         h, starts = _hashes(words, k) if words else (np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64))
         own = np.concatenate([np.arange(a, b - k + 1) for a, b in zip(starts, starts[1:])]) if words else np.zeros(0, dtype=np.int64)
         item = np.searchsorted(starts, own, side="right") - 1
         order = np.argsort(h[own], kind="stable")
-        return cls(ids, words, h[own][order], item[order], (own - starts[item])[order])
+        return cls(ids, words, h[own][order], item[order], (own - starts[item])[order], k, shorter)
 
 
 def tiles(doc: list[str], item: list[str], seeds: list[tuple[int, int]], k: int = MIN_MATCH) -> list[tuple[int, int, int]]:
@@ -120,11 +124,16 @@ def tiles(doc: list[str], item: list[str], seeds: list[tuple[int, int]], k: int
     return out
 
 
-def pairs(texts: list[str | None], s: Seeds, k: int = MIN_MATCH, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int, float, int]]:
+def pairs(texts: list[str | None], s: Seeds, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int, float, int]]:
     """Contaminating pairs of a batch of texts: (row, item_id, covered, n_words, coverage, n_tiles)."""
     lists = [normal_words(t) for t in texts]
-    if not any(lists) or not len(s.hashes):
+    return [p for one in (s, *s.shorter) for p in _pairs(lists, one, threshold)]
+
+
+def _pairs(lists: list[list[str]], s: Seeds, threshold: float) -> list[tuple[int, int, int, int, float, int]]:
+    if sum(map(len, lists)) < s.k or not len(s.hashes):
         return []
+    k = s.k
     h, starts = _hashes(lists, k)
     lo = np.searchsorted(s.hashes, h, side="left")
     hit = np.flatnonzero(s.hashes[np.minimum(lo, len(s.hashes) - 1)] == h)
@@ -160,14 +169,14 @@ def _blocks(benchmark: DataFrame, item_id: str, column: str, most: int) -> Itera
         yield block
 
 
-def tile_block(docs: DataFrame, seeds: Seeds, k: int, threshold: float) -> DataFrame:
+def tile_block(docs: DataFrame, seeds: Seeds, threshold: float) -> DataFrame:
     """(rid, doc_id, item_id, covered, n_words, coverage, n_tiles) of contaminating pairs; ``docs``: rid, doc_id, text."""
     sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sent.value
         for b in text.slices(batches):
-            rows = [(b.column(0)[r].as_py(), b.column(1)[r].as_py(), *rest) for r, *rest in pairs(b.column(2).to_pylist(), s, k, threshold)]
+            rows = [(b.column(0)[r].as_py(), b.column(1)[r].as_py(), *rest) for r, *rest in pairs(b.column(2).to_pylist(), s, threshold)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(),) * 5 + (pa.float64(), pa.int64()), strict=True)], names=["rid", "doc_id", "item_id", "covered", "n_words", "coverage", "n_tiles"])
 
@@ -179,16 +188,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     Documents without a contaminating item have no row. Words are lowered runs of
     letters, digits and underscores. Null texts have no words; items of fewer than
-    ``k`` words cannot match; null ids stay null; repeated rows are compared
+    ``k`` words match where they occur as a whole; null ids stay null; repeated rows are compared
     each; an empty table on either side gives an empty result; other
     columns are ignored. rid is the row's monotonically_increasing_id().
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
     out = None
     for block in _blocks(benchmark, item_id, item_text, block_words):
-        part = tile_block(rows, Seeds.of(block, k), k, threshold)
+        part = tile_block(rows, Seeds.of(block, k), threshold)
         out = part if out is None else out.unionByName(part)
-    return tile_block(rows, Seeds.of([], k), k, threshold) if out is None else out
+    return tile_block(rows, Seeds.of([], k), threshold) if out is None else out
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", column: str = "text", k: int = MIN_MATCH, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -203,7 +212,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", column
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for b in text.slices(batches, column):
-                bad = {r for r, *_ in pairs(b.column(at).to_pylist(), sent.value, k, threshold)}
+                bad = {r for r, *_ in pairs(b.column(at).to_pylist(), sent.value, threshold)}
                 yield b.filter(pa.array([r not in bad for r in range(b.num_rows)]))
 
         out = out.mapInArrow(run, docs.schema)

@@ -162,3 +162,13 @@ def test_reordered_passages_are_found(spark):
     left = decontam.remove(df, bench)
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 5, 6]
     assert decontam.contaminated(df.limit(0), bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_items_shorter_than_a_seed_are_found(spark):
+    docs = [(1, "so Call me, Ishmael! he said"), (2, "call him ishmael me"), (3, "one"), (4, "zero"), (5, None), (6, "call me"), (None, "x a b c d y")]
+    df = spark.createDataFrame(docs, SCHEMA)
+    bench = spark.createDataFrame([(10, "call me Ishmael"), (11, "zero"), (12, ""), (13, None), (14, "a b c d"), (15, "zero one two three four five six")], "item_id long, text string")
+    for block in (3, 1000):
+        out = decontam.contaminated(df, bench, block_words=block).collect()
+        assert sorted(((r.doc_id, r.item_id, r.covered, r.n_words, r.coverage, r.n_tiles) for r in out), key=str) == [(1, 10, 3, 3, 1.0, 1), (4, 11, 1, 1, 1.0, 1), (None, 14, 4, 4, 1.0, 1)]
+    assert sorted(r.doc_id for r in decontam.remove(df, bench).collect()) == [2, 3, 5, 6]
