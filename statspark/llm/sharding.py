@@ -7,7 +7,11 @@ rows fill the places that become free. So all shards keep their exact row
 counts in every round, and cut links only become fewer. A group larger than a shard fills
 one shard after the other.
 
-Per-shard totals (at most n_shards**2 rows) are the only thing that the driver sees.
+Groups that the rounds leave in more shards than they need are settled at last: their
+rows and the unlinked ones are pooled, and the groups are laid into the shards' pooled places, largest
+first. If that still cuts a group that fits in a shard, all groups are pooled where this cuts fewer.
+
+Group sizes (fewer than the root of twice the rows are distinct) and per-shard totals (at most n_shards**2 rows) are the only thing that the driver sees.
 """
 
 from __future__ import annotations
@@ -65,6 +69,78 @@ def _admit(asked: dict[tuple[int, int], int], spare: dict[int, int], n_shards: i
     return admitted, plan
 
 
+def _lay(sizes: dict[int, int], rooms: dict[int, int], quota: int) -> tuple[list[tuple[int, int, int, int, int, int]], dict[int, int], int]:
+    """Places of groups by size and number, largest first: (size, group from, to, member from, to, shard), the rooms left, and needless cuts.
+
+    Only a group for which no shard has room is cut, over the largest rooms.
+    """
+    rooms, steps, cuts = dict(rooms), [], 0
+    for size, many in sorted(sizes.items(), reverse=True):
+        g = 0
+        while g < many:
+            k = max(rooms, key=lambda x: (rooms[x], -x))
+            if fit := min(many - g, rooms[k] // size):
+                steps.append((size, g, g + fit, 0, size, k))
+                rooms[k] -= fit * size
+                g += fit
+                continue
+            at, parts = 0, 0
+            while at < size:
+                k = max(rooms, key=lambda x: (rooms[x], -x))
+                part = min(rooms[k], size - at)
+                steps.append((size, g, g + 1, at, at + part, k))
+                rooms[k] -= part
+                at, parts = at + part, parts + 1
+            cuts += parts - -(-size // quota)
+            g += 1
+    return steps, rooms, cuts
+
+
+def settle(state: DataFrame, n: int) -> DataFrame:
+    """Joins the groups that lie in more shards than they need; all shards keep their counts."""
+    quotas = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    if not quotas:
+        return state
+    quota = max(quotas.values())
+    held = state.filter("grp IS NOT NULL").groupBy("grp", "shard").agg(F.count("*").alias("n"), F.min("rid").alias("gid"))
+    groups = held.groupBy("grp").agg(F.sum("n").alias("n"), F.min("gid").alias("gid"), F.count("*").alias("c"))
+    groups = store.table(groups.select(F.col("grp").alias("g"), "gid", F.col("n").alias("size"), (F.col("c") > F.ceil(F.col("n") / quota)).alias("split")), "groups")
+    hist = groups.groupBy("size", "split").agg(F.count("*").alias("n")).collect()
+    some, every = {r["size"]: r["n"] for r in hist if r["split"]}, {}
+    for r in hist:
+        every[r["size"]] = every.get(r["size"], 0) + r["n"]
+    if not some:
+        store.drop(groups)
+        return state
+    pool = groups.filter("split")
+    member = state.join(pool, F.col("grp") == F.col("g"), "left").withColumn("in", F.col("gid").isNotNull() | F.col("grp").isNull())
+    rooms = quotas | {k: 0 for k in quotas} | {r["shard"]: r["n"] for r in member.filter("in").groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    steps, left, cuts = _lay(some, rooms, quota)
+    if cuts:
+        whole = _lay(every, quotas, quota)
+        if whole[2] < cuts:
+            (steps, left, _), pool = whole, groups
+            member = state.join(pool, F.col("grp") == F.col("g"), "left").withColumn("in", F.lit(True))
+    spark = state.sparkSession
+    numbered = store.table(gapless(pool.select("g", "gid", "size"), ["size"], "gid", n, "num"), "groups")
+    mine = state.join(numbered, F.col("grp") == F.col("g")).select("rid", "grp", "shard", "gid", "size", "num")
+    ranked = gapless(mine, ["gid"], "rid", n, "rank")
+    moves = spark.createDataFrame(steps, "z long, glo long, ghi long, mlo long, mhi long, dest int")
+    on = (F.col("size") == F.col("z")) & (F.col("num") >= F.col("glo")) & (F.col("num") < F.col("ghi")) & (F.col("rank") >= F.col("mlo")) & (F.col("rank") < F.col("mhi"))
+    out = ranked.join(F.broadcast(moves), on).select("rid", "grp", F.col("dest").alias("shard"))
+    fill, at = [], 0
+    for k, m in left.items():
+        fill.append((at, at + m, k))
+        at += m
+    free = gapless(state.filter("grp IS NULL").select("rid", "grp").withColumn("__all", F.lit(0)), ["__all"], "rid", n, "rank")
+    places = spark.createDataFrame(fill, "lo long, hi long, dest int")
+    out = out.unionByName(free.join(F.broadcast(places), (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select("rid", "grp", F.col("dest").alias("shard")))
+    new = store.table(out.unionByName(member.filter(~F.col("in")).select("rid", "grp", "shard")), "shards")
+    for old in (state, groups, numbered):
+        store.drop(old)
+    return new
+
+
 def propagate(rows: DataFrame, n_shards: int = N_SHARDS, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, int]:
     """Adds ``shard`` to a written table of rows (rid: unique long; grp: group of linked rows, null if unlinked)."""
     n = rows.count()
@@ -72,6 +148,7 @@ def propagate(rows: DataFrame, n_shards: int = N_SHARDS, max_rounds: int = MAX_R
     sizes = rows.filter("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("grp").alias("g"))
     linked = dealt.join(sizes, dealt.grp == sizes.g, "left").select("rid", F.col("g").alias("grp"), F.pmod("pos", F.lit(n_shards)).cast("int").alias("shard"))
     state = store.table(linked, "shards")
+    spare = {0: n}
     for _ in range(max_rounds):
         spare = {r["shard"]: r["n"] for r in state.filter("grp IS NULL").groupBy("shard").agg(F.count("*").alias("n")).collect()}
         if not spare:
@@ -109,7 +186,7 @@ def propagate(rows: DataFrame, n_shards: int = N_SHARDS, max_rounds: int = MAX_R
         store.drop(state)
         store.drop(asks)
         state = new
-    return state, n
+    return (settle(state, n) if spare else state), n
 
 
 def shard(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", n_shards: int = N_SHARDS, link: Column | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:

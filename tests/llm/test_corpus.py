@@ -172,3 +172,21 @@ def test_items_shorter_than_a_seed_are_found(spark):
         out = decontam.contaminated(df, bench, block_words=block).collect()
         assert sorted(((r.doc_id, r.item_id, r.covered, r.n_words, r.coverage, r.n_tiles) for r in out), key=str) == [(1, 10, 3, 3, 1.0, 1), (4, 11, 1, 1, 1.0, 1), (None, 14, 4, 4, 1.0, 1)]
     assert sorted(r.doc_id for r in decontam.remove(df, bench).collect()) == [2, 3, 5, 6]
+
+
+def cut(out):
+    """Texts in more than one shard; counts and slots have to be even and gapless."""
+    by, copies = defaultdict(list), defaultdict(set)
+    for r in out:
+        by[r.shard].append(r.slot)
+        copies[r.text_crc32].add(r.shard)
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    return sum(len(s) > 1 for s in copies.values())
+
+
+def test_groups_are_joined_whatever_the_rounds(spark):
+    rows = [(i, f"pair {i // 2}") for i in range(2900)] + [(i, f"one {i}") for i in range(2900, 3000)]
+    for rounds in (0, 2):
+        out = sharding.shard(spark.createDataFrame(rows, SCHEMA), max_rounds=rounds).collect()
+        assert sorted(r.doc_id for r in out) == list(range(3000)) and cut(out) == 0
