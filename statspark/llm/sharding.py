@@ -148,7 +148,6 @@ def propagate(rows: DataFrame, n_shards: int = N_SHARDS, max_rounds: int = MAX_R
     sizes = rows.filter("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("grp").alias("g"))
     linked = dealt.join(sizes, dealt.grp == sizes.g, "left").select("rid", F.col("g").alias("grp"), F.pmod("pos", F.lit(n_shards)).cast("int").alias("shard"))
     state = store.table(linked, "shards")
-    spare = {0: n}
     for _ in range(max_rounds):
         spare = {r["shard"]: r["n"] for r in state.filter("grp IS NULL").groupBy("shard").agg(F.count("*").alias("n")).collect()}
         if not spare:
@@ -186,7 +185,7 @@ def propagate(rows: DataFrame, n_shards: int = N_SHARDS, max_rounds: int = MAX_R
         store.drop(state)
         store.drop(asks)
         state = new
-    return (settle(state, n) if spare else state), n
+    return settle(state, n), n
 
 
 def shard(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", n_shards: int = N_SHARDS, link: Column | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:

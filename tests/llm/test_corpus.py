@@ -190,3 +190,8 @@ def test_groups_are_joined_whatever_the_rounds(spark):
     for rounds in (0, 2):
         out = sharding.shard(spark.createDataFrame(rows, SCHEMA), max_rounds=rounds).collect()
         assert sorted(r.doc_id for r in out) == list(range(3000)) and cut(out) == 0
+
+
+def test_groups_are_joined_without_unlinked_rows(spark):
+    out = sharding.shard(spark.createDataFrame([(i, f"pair {i // 2}") for i in range(2976)], SCHEMA)).collect()
+    assert sorted(r.doc_id for r in out) == list(range(2976)) and cut(out) == 0
