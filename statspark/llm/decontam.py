@@ -48,9 +48,9 @@ def _hashes(batch: list[list[str]], k: int) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(joined, dtype=np.uint8)
     space = data == 32
     edge = np.flatnonzero(np.diff(space, prepend=True))
-    h = text.word_hashes(data, edge[0::2], edge[1::2], text.BASES[0])
+    h = text.span_hashes(data, edge[0::2], edge[1::2])
     starts = np.concatenate([[0], np.cumsum([len(w) for w in batch])])
-    return text.window_hashes(h, k, text.BASES[1]), starts
+    return text.window_hashes(h, k), starts
 
 
 @dataclass

@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a join-free aggregation over edges, so a hot node is settled by
-map-side minima; edges between steps are tables in the shared folder.
+In a step, the least neighbour of each node is found by map-side minima and joined back to its edges, so the rows of
+a step never outnumber twice the edges. Edges between steps are tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """The least node of the component of each node in ``edges``.
 
     ``edges``: columns u, v (long, no nulls; loops and repeats are allowed).
-    Returns (node, component) for nodes that have an edge to another node.
+    Returns a written table (node, component) of nodes that have an edge to another node.
     Empty edges give an empty result. Raises if it has not converged after
     ``max_rounds`` double steps (the number needed is logarithmic).
     """
@@ -45,6 +45,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = new
         if row == mark:
             nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = store.table(nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+            store.drop(now)
+            return out
         mark = row
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

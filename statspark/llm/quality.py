@@ -62,7 +62,7 @@ def features(column: pa.Array) -> np.ndarray:
         out[:, j] = counts[:, c] / safe_c
     for j, c in ((4, 3), (5, 4), (6, 5), (7, 6), (8, 7), (9, 8)):
         out[:, j] = counts[:, c] / safe_w
-    hashes = text.word_hashes(data, starts, ends, text.BASES[0])
+    hashes = text.span_hashes(data, starts, ends)
 
     def distinct(of: np.ndarray, values: np.ndarray) -> np.ndarray:
         order = np.lexsort((values, of))
@@ -73,7 +73,7 @@ def features(column: pa.Array) -> np.ndarray:
 
     out[:, 10] = distinct(of, hashes) / safe_w
     if len(hashes) > 2:
-        win = text.window_hashes(hashes, 3, text.BASES[1])
+        win = text.window_hashes(hashes, 3)
         whole = of[2:] == of[:-2]
         n_win = np.bincount(of[:-2][whole], minlength=n)
         out[:, 11] = 1 - distinct(of[:-2][whole], win[whole]) / np.maximum(n_win, 1)
@@ -87,7 +87,7 @@ def features(column: pa.Array) -> np.ndarray:
         a, b = line_starts[long], line_ends[long]
         lines_of = np.searchsorted(at, a, side="right") - 1
         n_lines = np.bincount(lines_of, minlength=n)
-        out[:, 12] = 1 - distinct(lines_of, text.spans_hash(data.astype(np.uint64) + np.uint64(1), a, b, text.BASES[1])) / np.maximum(n_lines, 1)
+        out[:, 12] = 1 - distinct(lines_of, text.span_hashes(data, a, b)) / np.maximum(n_lines, 1)
         out[n_lines == 0, 12] = 0
     if len(size):
         full = n_words > 0

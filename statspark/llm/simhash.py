@@ -15,6 +15,7 @@ linked share one of these keys. Members of a key are joined and verified.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import golay, graph, store, text
+from . import golay, graph, similar, store, text
 
 SHINGLE = 3
 SEED = 42
@@ -109,7 +110,9 @@ def links(fps: DataFrame) -> DataFrame:
     spots = large.select("fp", F.explode(around).alias("spot"))
     least = spots.groupBy("spot").agg(F.min("fp").alias("u"))
     stars = spots.join(least, "spot").select("u", F.col("fp").alias("v")).filter("u <> v").filter(near)
-    return store.table(pairs.unionByName(stars).distinct(), "links")
+    out = store.table(pairs.unionByName(stars).distinct(), "links")
+    store.drop(shared)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", column: str = "text") -> DataFrame:
@@ -132,16 +135,68 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", column: str = "text
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", column: str = "text") -> DataFrame:
-    """Keeps one row of each component: the first by doc_id, text and then any.
+def _kept_by_fingerprint(base: DataFrame, rid: str, doc_id: str, column: str) -> DataFrame:
+    """(kept): the first row of each component of near fingerprints."""
+    rows = near_duplicates(base.select(F.col(rid).alias("doc_id"), F.col(column).alias("text")), "doc_id", "text")
+    rank = F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), F.col(rid).alias("c"))
+    member = base.select(rid, rank.alias("r")).join(rows.select(F.col("doc_id").alias("f"), F.col("component_id").alias("comp")), F.col(rid) == F.col("f"))
+    return member.groupBy("comp").agg(F.min("r").alias("r")).select(F.col("r.c").alias("kept"))
+
 
-    All columns are returned as they are. Rows with a null doc_id come last
-    within a component.
+def _signed(rows: DataFrame, k: int) -> DataFrame:
+    """(rid, same, fp) from (rid, text): a digest of the words and the fingerprint of the k-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text.slices(batches):
+            texts = [similar.normal(x) for x in b.column(1).cast(pa.binary()).to_pylist()]
+            fp = similar.fingerprints(*similar.shingles(texts, k))
+            same = pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), same, pa.array(fp.view(np.int64))], names=["rid", "same", "fp"])
+
+    return rows.mapInArrow(run, "rid long, same binary, fp long")
+
+
+def _kept_by_similarity(base: DataFrame, rid: str, doc_id: str, column: str, k: int, similarity: float) -> DataFrame:
+    """(kept): the first row of each component of texts whose k-word shingles have this Jaccard similarity."""
+    rows = base.select(F.col(rid).alias("rid"), F.col(column).cast("string").alias("text"))
+    signed = store.table(_signed(rows, k), "signed")
+    rank = base.select(F.col(rid).alias("r0"), F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), F.col(rid).alias("c")).alias("r"))
+    groups = signed.join(rank, F.col("rid") == F.col("r0")).groupBy("same").agg(F.min("rid").alias("node"), F.min("r").alias("r"), F.min("fp").alias("fp"))
+    distinct = store.table(groups.select("node", "r", "fp"), "distinct")
+    store.drop(signed)
+    unique = store.table(rows.join(distinct.select("node"), F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "text"), "unique")
+    # The Golay search: texts whose fingerprints are near, as pairs of texts.
+    own = store.table(distinct.groupBy("fp").agg(F.min("node").alias("least")), "own")
+    near = links(own)
+    a, b = (own.select(F.col("fp").alias(f"f{x}"), F.col("least").alias(x)) for x in "uv")
+    found = near.select(F.col("u").alias("x"), F.col("v").alias("y")).join(a, F.col("x") == F.col("fu")).join(b, F.col("y") == F.col("fv")).select("u", "v")
+    equal = distinct.select("node", F.col("fp").alias("f")).join(own, (F.col("f") == F.col("fp")) & (F.col("node") != F.col("least"))).select(F.col("least").alias("u"), F.col("node").alias("v"))
+    comp = similar.components(unique, found.unionByName(equal).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), k, similarity)
+    first = distinct.select("node", "r")
+    if comp is not None:
+        label = comp.select(F.col("node").alias("q"), "component")
+        first = first.join(label, F.col("node") == F.col("q"), "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("r").alias("r"))
+    out = store.table(first.select(F.col("r.c").alias("kept")), "kept")
+    store.drop(unique, own, near, distinct, comp)
+    return out
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", k: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """Keeps one row of each component of near duplicates: the first by doc_id, and any of those with equal ids.
+
+    Without ``similarity`` rows are linked as in :func:`near_duplicates` (k is SHINGLE there). With it they are linked if their
+    sets of ``k``-word shingles have that Jaccard similarity or more, which is verified on whole sets: pairs
+    found by Golay keys come first, and :mod:`similar` finds all others.
+    All columns are returned as they are. Rows with equal words, or without any, are
+    near duplicates; null texts count as empty. Rows with a null doc_id come last
+    within a component. Repeated rows are one component. A text of any length is taken whole, in one task. An empty table gives an empty one.
     """
-    rid, comp, fp = "__nd_rid", "__nd_comp", "__nd_fp"
+    rid = "__nd_rid"
     base = store.table(docs.withColumn(rid, F.monotonically_increasing_id()), "docs")
-    rows = near_duplicates(base.select(F.col(rid).alias("doc_id"), F.col(column).alias("text")), "doc_id", "text")
-    rank = F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), F.col(rid).alias("c"))
-    member = base.select(rid, rank.alias("r")).join(rows.select(F.col("doc_id").alias(fp), F.col("component_id").alias(comp)), F.col(rid) == F.col(fp))
-    first = member.groupBy(comp).agg(F.min("r").alias("r")).select(F.col("r.c").alias(fp))
-    return base.join(first, base[rid] == first[fp], "left_semi").drop(rid)
+    if similarity is None:
+        if k != SHINGLE:
+            raise ValueError("fingerprints alone take SHINGLE words")
+        kept = _kept_by_fingerprint(base, rid, doc_id, column)
+    else:
+        kept = _kept_by_similarity(base, rid, doc_id, column, k, similarity)
+    return base.join(kept, base[rid] == kept["kept"], "left_semi").drop(rid)

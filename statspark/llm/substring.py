@@ -53,10 +53,8 @@ def windows(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndar
     starts, ends = text.words(data)
     raw = data.tobytes()
     first = np.searchsorted(starts, at)
-    both = []
-    for base in text.BASES:
-        h = text.word_hashes(data, starts, ends, base)
-        both.append(text.window_hashes(h, k, base))
+    h = text.span_hashes(data, starts, ends)
+    both = [text.window_hashes(text.lane(h, n), k) for n in range(2)]
     for i in range(len(at) - 1):
         a, b = first[i], first[i + 1]
         n = max(0, b - a - k + 1)

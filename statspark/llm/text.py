@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,12 +51,12 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def _inverse(b: int) -> int:
-    return pow(b, -1, 1 << 64)
-
-
-#: Two odd multipliers of a polynomial hash modulo 2**64; any odd values serve.
+#: Two odd multipliers; any odd values serve.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Distinct words whose hashes a worker remembers; beyond it, it starts anew.
+REMEMBER = 1 << 20
+
+_KNOWN: dict[bytes, int] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -65,34 +66,54 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in order. It is mixed, so that nested ones have no linear form."""
+    return mix(a * _U(BASES[0]) + b)
 
 
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hashes of ``values[starts:ends]``, for all spans at once.
+def lane(h: np.ndarray, n: int) -> np.ndarray:
+    """The n-th of several hashes that look independent, from one."""
+    return mix(h ^ _U(BASES[n % 2])) if n else h
 
-    The sum of v[i] * base**-i is kept as a prefix sum; the difference of two
-    prefixes times base**start is a hash of the span alone.
-    """
-    inv = _powers(_inverse(base), len(values))
-    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * inv, out=prefix[1:])
-    up = _powers(base, len(values) + 1)
-    return mix((prefix[ends] - prefix[starts]) * up[starts] + (ends - starts).astype(np.uint64))
 
+def _digest(value: bytes) -> int:
+    out = _KNOWN.get(value)
+    if out is None:
+        if len(_KNOWN) >= REMEMBER:
+            _KNOWN.clear()
+        out = int.from_bytes(hashlib.blake2b(value, digest_size=8).digest(), "little")
+        if len(value) <= 64:
+            _KNOWN[value] = out
+    return out
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    return spans_hash(data.astype(np.uint64) + _U(1), starts, ends, base)
 
-
-def window_hashes(hashes: np.ndarray, k: int, base: int) -> np.ndarray:
-    """Karp-Rabin hashes of all windows of ``k`` consecutive words."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """BLAKE2b, 64 bits, of the bytes of spans that do not overlap, in order. Each distinct span of a call is hashed once."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    edge = np.zeros(len(data) + 1, dtype=np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    offsets = np.zeros(n + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    spans = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)])])
+    found = spans.dictionary_encode()
+    each = np.array([_digest(x) for x in found.dictionary.to_pylist()], dtype=np.uint64)
+    return each[found.indices.to_numpy()]
+
+
+def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all windows of ``k`` consecutive items, from hashes of spans of 1, 2, 4, ... items."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    at = np.arange(n)
-    return spans_hash(hashes, at, at + k, base)
+    out, done, level, size = None, 0, hashes, 1
+    while size <= k:
+        if k & size:
+            out = level[:n] if out is None else pair(out, level[done : done + n])
+            done += size
+        if 2 * size <= k:
+            level = pair(level[:-size], level[size:])
+        size *= 2
+    return mix(out ^ _U(k))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statspark.llm import golay, graph, minhash, simhash
+from statspark.llm import golay, graph, similar, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -107,11 +107,11 @@ def brute_first(rows):
     return sorted((d, n) for n, d in least.values())
 
 
-@pytest.mark.parametrize("pairwise", [0, 32])
+@pytest.mark.parametrize("pairwise", [0, 1000])
 def test_stage_keeps_one_of_five_word_neighbours(spark, monkeypatch, pairwise):
     import corpus_pipeline
 
-    monkeypatch.setattr(minhash, "PAIRWISE", pairwise)
+    monkeypatch.setattr(similar, "PAIRWISE", pairwise)
     rng = random.Random(4)
     rows = corpus()
     for n in (30, 60, 110, 250, 900):
@@ -128,11 +128,15 @@ def test_stage_keeps_one_of_five_word_neighbours(spark, monkeypatch, pairwise):
     assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), "").count() == 0
 
 
-def test_bands_find_pairs_at_the_bound():
-    rng = np.random.default_rng(3)
-    missed = 0
-    for _ in range(300):
-        common, a, b = (rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (80, 10, 10))
-        keys = minhash.band_keys(np.concatenate([common, a, common, b]), np.array([0, 90, 180]))
-        missed += not (keys[0] == keys[1]).any()
-    assert missed == 0
+def test_shingles_and_fingerprints_depend_on_the_text_alone():
+    texts = [b"", b"a", b"a b c", b"a b c d e", b"a b c d e f", b"x a b c d e"]
+    h, at = similar.shingles(texts, 5)
+    assert at.tolist() == [0, 0, 1, 2, 3, 5, 7]
+    assert h[2] == h[3] == h[6] and len(set(h.tolist())) == 5
+    fp = similar.fingerprints(h, at)
+    for i, t in enumerate(texts):
+        alone = similar.shingles([t], 5)
+        assert alone[0].tolist() == h[at[i] : at[i + 1]].tolist()
+        assert similar.fingerprints(*alone)[0] == fp[i]
+    bits = [(h >> np.uint64(b)) & np.uint64(1) for b in range(64)]
+    assert int(fp[4]) == sum(1 << b for b, x in enumerate(bits) if 2 * x[3:5].sum() > 2)
