@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statspark.llm import decontam, minhash, packing, pii, quality, store
+from statspark.llm import decontam, packing, pii, quality, simhash, store
 from statspark.llm.queries import tokenizer_path
 
 
@@ -19,7 +19,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8 or more): the one of the least doc_id."""
-    return minhash.keep_one(docs)
+    return simhash.keep_one(docs, k=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
