@@ -1,20 +1,19 @@
 """Removal of repeated word windows, with a count-min prefilter.
 
-Pass 1: every task sketches the hashes of its word windows (once for each
-document). A sketch has ROWS rows of counters; tasks send only the counters they
-touched, cut into shards, and the shards are merged by addition. Count-min never
-underestimates, so a window of two documents has all its counters at two or more.
-
-Pass 2: windows whose estimate is two or more are grouped by a 96-bit hash of
-their words, in one shuffle; all others are in one document only and are
-never shuffled. *Hot* windows, of which there may be as many as documents, are kept
-out of that shuffle: where the estimate reaches ``hot_from``, the least doc_id is
-aggregated on the map side in a pass of its own, and sent to all tasks. There are at
-most (windows / hot_from) of them, so at most HOT_KEYS.
-
-The merged sketch keeps one bit for each counter ("two or more") and is broadcast;
-``max_width`` bounds it at ROWS * max_width / 8 bytes (128 MB by default). Below
-the bound its width follows the corpus. Its size only decides how many windows are
+A window's *anchor* is the least hash among its sub-windows of half its length. Equal windows have equal anchors, and
+neighbours share theirs, so a text has about one anchor for thirteen windows of 50 words.
+
+Pass 1: every task sketches the anchors of its documents (once for each document). A sketch has ROWS rows of counters; tasks send only
+the counters they touched, cut into shards, and the shards are merged by addition. Count-min never
+underestimates: a window of two documents has an anchor of two documents, whose counters all are at two or more.
+
+Pass 2: windows whose estimate is two or more are grouped by the 128-bit BLAKE2b of their words, in one
+shuffle; all others are in one document only and are never shuffled. A task first settles what it can: where it
+holds a window of two documents, the larger doc_id needs no group any more. So a group has at most
+one document for each gather of GATHER windows, however many share the window.
+
+The merged sketch keeps one bit for each counter ("two or more") and is broadcast. Its width follows the corpus, up to ``max_width``,
+which bounds the broadcast at ROWS * max_width / 8 bytes (128 MB by default). Its size only decides how many windows are
 grouped in pass 2, never the result.
 """
 
@@ -23,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,34 +36,67 @@ ROWS = 2
 #: Counters in a shard: merging holds one byte for each in memory.
 SHARD = 1 << 22
 MAX_WIDTH = 1 << 29
-#: Window hashes that a task gathers before it sends a partial sketch.
-GATHER = 1 << 22
-#: Bytes of text taken up at a time: the arrays of a slice take about fifty times as much.
+#: Anchors that a task gathers before it sends a partial sketch, and windows before it settles and sends them.
+GATHER = 1 << 20
+#: Bytes of text taken up at a time.
 SLICE = 1 << 20
-#: Windows in fewer documents than this are not hot; nor are more than HOT_KEYS ever.
-HOT_FROM = 1000
-HOT_KEYS = 1 << 20
 
 _U = np.uint64
 
 
-def windows(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]]:
-    """For each text: its row, word starts and ends (in its bytes), both hashes of its windows, its bytes."""
+@dataclass
+class Windows:
+    """The windows of one text: a hash and the anchor of each, and the words, one space apart, with their starts (one more at the end)."""
+
+    row: int
+    hashes: np.ndarray
+    anchors: np.ndarray
+    words: bytes
+    starts: np.ndarray
+
+    def digest(self, at: int, k: int) -> bytes:
+        return hashlib.blake2b(self.words[self.starts[at] : self.starts[at + k] - 1], digest_size=16).digest()
+
+    def distinct(self, at: np.ndarray, k: int) -> dict[bytes, int]:
+        """The windows at these starts by digest, each with its first start."""
+        found: dict[bytes, int] = {}
+        for i in at.tolist():
+            found.setdefault(self.digest(i, k), i)
+        return found
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours."""
+    size = 1
+    n = len(h) - width + 1
+    while 2 * size <= width:
+        h = np.minimum(h[:-size], h[size:])
+        size *= 2
+    return np.minimum(h[:n], h[width - size : width - size + n])
+
+
+def windows(column: pa.Array, k: int) -> Iterator[Windows]:
+    """The texts that have a window of ``k`` words."""
     data, at = text.utf8(column)
     starts, ends = text.words(data)
-    raw = data.tobytes()
+    if len(starts) < k:
+        return
+    hashes = text.span_hashes(data, starts, ends)
+    whole = text.window_hashes(hashes, k)
+    half = max(1, k // 2)
+    anchors = _least(text.window_hashes(hashes, half), k - half + 1)
     first = np.searchsorted(starts, at)
-    h = text.span_hashes(data, starts, ends)
-    both = [text.window_hashes(text.lane(h, n), k) for n in range(2)]
-    for i in range(len(at) - 1):
+    for i in np.flatnonzero(np.diff(first) >= k).tolist():
         a, b = first[i], first[i + 1]
-        n = max(0, b - a - k + 1)
-        yield i, starts[a:b] - at[i], ends[a:b] - at[i], both[0][a : a + n], both[1][a : a + n], raw[at[i] : at[i + 1] - 1]
+        raw = data[at[i] : at[i + 1]].tobytes().split()
+        lengths = np.zeros(b - a + 1, dtype=np.int64)
+        np.cumsum(ends[a:b] - starts[a:b] + 1, out=lengths[1:])
+        yield Windows(i, whole[a : b - k + 1], anchors[a : b - k + 1], b" ".join(raw), lengths)
 
 
-def slots(h1: np.ndarray, h2: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The counters of a window in each row of the sketch."""
-    return [(h1 >> _U(64 - bits)).astype(np.int64), (h2 >> _U(64 - bits)).astype(np.int64)]
+def slots(anchors: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The counters of an anchor in each row of the sketch."""
+    return [(text.lane(text.mix(anchors), n) >> _U(64 - bits)).astype(np.int64) for n in range(ROWS)]
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -77,8 +110,8 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
 
 
-def sketch(docs: DataFrame, column: str, k: int, bits: int, hot_from: int) -> DataFrame:
-    """(shard, twice, hot): merged shards, packed bits of the counters that reach two, and slots that reach ``hot_from``.
+def sketch(docs: DataFrame, column: str, k: int, bits: int) -> DataFrame:
+    """A written table (shard, twice): merged shards as packed bits of the counters that reach two.
 
     Shard numbers run over the rows of the sketch one after the other.
     """
@@ -105,11 +138,9 @@ def sketch(docs: DataFrame, column: str, k: int, bits: int, hot_from: int) -> Da
 
         n = 0
         for b in text.slices(batches, most=SLICE):
-            for _, _, _, h1, h2, _ in windows(b.column(0), k):
-                if not len(h1):
-                    continue
-                _, once = np.unique(h1, return_index=True)
-                for row, s in enumerate(slots(h1[once], h2[once], bits)):
+            for w in windows(b.column(0), k):
+                once = np.unique(w.anchors)
+                for row, s in enumerate(slots(once, bits)):
                     held[row].append(s.astype(np.uint32))
                 n += len(once)
             if n >= GATHER:
@@ -123,8 +154,7 @@ def sketch(docs: DataFrame, column: str, k: int, bits: int, hot_from: int) -> Da
 
         def done() -> pa.RecordBatch:
             bits_of = np.packbits(counters >= 2, bitorder="little").tobytes()
-            hot = np.flatnonzero(counters >= hot_from).astype("<u4").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits_of], pa.binary()), pa.array([hot], pa.binary())], names=["shard", "twice", "hot"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits_of], pa.binary())], names=["shard", "twice"])
 
         for b in batches:
             for shard, touched, more, extra in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -139,113 +169,112 @@ def sketch(docs: DataFrame, column: str, k: int, bits: int, hot_from: int) -> Da
 
     parts = docs.select(F.col(column).cast("string").alias("text")).mapInArrow(local, "shard int, touched binary, more binary, extra binary")
     n = min(ROWS * per_row, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    merged = parts.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, twice binary, hot binary")
+    merged = parts.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, twice binary")
     return store.table(merged, "sketch")
 
 
 class Sketch:
-    """The merged sketch, as tasks look windows up in it."""
+    """The merged sketch, as tasks look anchors up in it."""
 
     def __init__(self, merged: DataFrame, bits: int):
         per_row, size = max(1, (1 << bits) // SHARD), min(SHARD, 1 << bits)
         self.bits = bits
         self.twice = np.zeros((ROWS, per_row * size // 8), dtype=np.uint8)
-        hot: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(ROWS)]
         for r in merged.toLocalIterator():
             row, s = divmod(r["shard"], per_row)
             self.twice[row, s * size // 8 : (s + 1) * size // 8] = np.frombuffer(r["twice"], dtype=np.uint8)
-            hot[row].append(np.frombuffer(r["hot"], dtype="<u4").astype(np.int64) + s * size)
-        self.hot = [np.sort(np.concatenate(x)) for x in hot]
 
-    def repeated(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h1), dtype=bool)
-        for row, s in enumerate(slots(h1, h2, self.bits)):
+    def repeated(self, anchors: np.ndarray) -> np.ndarray:
+        out = np.ones(len(anchors), dtype=bool)
+        for row, s in enumerate(slots(anchors, self.bits)):
             out &= (self.twice[row][s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)
         return out
 
-    def is_hot(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h1), dtype=bool)
-        for row, s in enumerate(slots(h1, h2, self.bits)):
-            out &= np.isin(s, self.hot[row]) if len(self.hot[row]) else False
-        return out
-
 
-def _hot_least(rows: DataFrame, sent, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
-    """Both hashes and the least doc_id of hot windows, sorted by the first hash; at most HOT_KEYS or so."""
+def settle(a: np.ndarray, b: np.ndarray, d: np.ndarray, th: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
+    """Marks the windows, given by their digests a and b, that a smaller doc_id among these has too.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[tuple[int, int], int] = {}
-        for b in text.slices(batches, most=SLICE):
-            ids = b.column(0).to_pylist()
-            for i, _, _, h1, h2, _ in windows(b.column(1), k):
-                at = np.flatnonzero(sent.value.is_hot(h1, h2))
-                for key in zip(h1[at].view(np.int64).tolist(), h2[at].view(np.int64).tolist(), strict=True):
-                    if ids[i] < least.get(key, ids[i] + 1):
-                        least[key] = ids[i]
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in least], pa.int64()), pa.array([b for _, b in least], pa.int64()), pa.array(list(least.values()), pa.int64())], names=["h1", "h2", "d"])
-
-    found = rows.select("d", "text").mapInArrow(run, "h1 long, h2 long, d long").groupBy("h1", "h2").agg(F.min("d").alias("m")).collect()
-    found.sort(key=lambda r: r["h1"])
-    return tuple(np.array([r[c] for r in found], dtype=np.int64) for c in ("h1", "h2", "m"))
+    Their positions become complements and their digests a hash of their place, so that they spread over all tasks.
+    """
+    order = np.lexsort((d, b, a))
+    a, b, d, th, pos = (x[order] for x in (a, b, d, th, pos))
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    least = d[new][np.cumsum(new) - 1]
+    known = d > least
+    spread = text.mix(th.view(np.uint64) ^ text.mix(pos.astype(np.uint64)))
+    return [np.where(known, spread.view(np.int64), a), b, d, th, np.where(known, ~pos, pos)]
 
 
-def covered(rows: DataFrame, k: int, max_width: int, hot_from: int) -> DataFrame:
+def covered(rows: DataFrame, k: int, max_width: int) -> DataFrame:
     """(d, th, gone): window starts whose words a smaller doc_id has too, for each row that has some.
 
     ``rows``: d (doc_id), th (hash of the text) and text. Rows of the same d and
-    th, which are repeated rows, are one.
+    th, which are repeated rows, are one. Of equal windows of one text only the first start is given.
     """
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # About six bytes make a word; the next power of two from four counters a word.
-    bits = min(max(16, int(size // 6 * 4).bit_length()), max_width.bit_length() - 1)
-    # No document has more windows than words, nor more words than half its bytes.
-    hot_from = max(hot_from, size // 2 // HOT_KEYS)
-    merged = sketch(rows, "text", k, bits, hot_from)
-    own = Sketch(merged, bits)
-    sent = spark.sparkContext.broadcast(own)
-    hot1, hot2, hot_m = _hot_least(rows, sent, k) if all(len(x) for x in own.hot) else (np.zeros(0, dtype=np.int64),) * 3
-    hot = spark.sparkContext.broadcast((hot1, hot2, hot_m))
-    del own
+    # About six bytes make a word, and 2 / (k - k // 2 + 2) of the windows bring a new anchor; the next power of two from four counters for each.
+    bits = min(max(16, int(size // 6 * 8 // (k - k // 2 + 2)).bit_length()), max_width.bit_length() - 1)
+    merged = sketch(rows, "text", k, bits)
+    sent = spark.sparkContext.broadcast(Sketch(merged, bits))
+    store.drop(merged)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, (a1, a2, am) = sent.value, hot.value
-        for b in text.slices(batches, most=SLICE):
-            d, th = b.column(0).to_numpy(), b.column(1).to_numpy()
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for i, _, _, h1, h2, _ in windows(b.column(2), k):
-                at = np.flatnonzero(s.repeated(h1, h2)) if len(h1) else ()
+        s = sent.value
+        held: list[list[np.ndarray]] = [[] for _ in range(5)]
+
+        def flush() -> pa.RecordBatch:
+            cols = settle(*(np.concatenate(c) for c in held))
+            for c in held:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "d", "th", "pos"])
+
+        n = 0
+        for batch in text.slices(batches, most=SLICE):
+            d, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for w in windows(batch.column(2), k):
+                change = np.flatnonzero(np.concatenate([[True], w.anchors[1:] != w.anchors[:-1]]))
+                times = np.diff(np.append(change, len(w.anchors)))
+                at = np.flatnonzero(np.repeat(s.repeated(w.anchors[change]), times))
                 if not len(at):
                     continue
-                x1, x2 = h1[at].view(np.int64), h2[at].view(np.int64)
-                m = np.full(len(at), -1, dtype=np.int64)
-                known = np.zeros(len(at), dtype=bool)
-                if len(a1):
-                    for j in np.flatnonzero(s.is_hot(h1[at], h2[at])).tolist():
-                        for q in range(np.searchsorted(a1, x1[j]), len(a1)):
-                            if a1[q] != x1[j]:
-                                break
-                            if a2[q] == x2[j]:
-                                known[j], m[j] = True, am[q]
-                    # A hot window is settled here; its key is replaced, so that its rows spread.
-                    x1 = np.where(known, text.mix((at + 1).astype(np.uint64) * np.uint64(th[i] & 0xFFFFFFFF | 1)).view(np.int64), x1)
-                    keep = ~known | (m < d[i])
-                    at, x1, x2, m, known = at[keep], x1[keep], x2[keep], m[keep], known[keep]
-                # Half of the second hash is enough beside the first; a settled position is sent as its complement.
-                pos = np.where(known, ~at, at).astype(np.int32)
-                for col, v in zip(out, (x1, (x2 >> 32).astype(np.int32), np.full(len(at), d[i]), np.full(len(at), th[i]), pos), strict=True):
+                found = w.distinct(at, k)
+                key, at = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2), np.fromiter(found.values(), dtype=np.int64, count=len(found))
+                for col, v in zip(held, (key[:, 0], key[:, 1], np.full(len(at), d[w.row]), np.full(len(at), th[w.row]), at.astype(np.int32)), strict=True):
                     col.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h1", "h2", "d", "th", "pos"])
+                n += len(at)
+                if n >= GATHER:
+                    yield flush()
+                    n = 0
+        if n:
+            yield flush()
 
-    hits = rows.mapInArrow(emit, "h1 long, h2 int, d long, th long, pos int")
-    same = Window.partitionBy("h1", "h2")
+    hits = rows.mapInArrow(emit, "a long, b long, d long, th long, pos int")
+    same = Window.partitionBy("a", "b")
     cover = hits.withColumn("m", F.min("d").over(same)).filter((F.col("pos") < 0) | (F.col("d") > F.col("m")))
     at = F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos"))
-    return cover.select("d", "th", at.alias("pos")).groupBy("d", "th").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
-
-
-def dedup(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", k: int = WINDOW, max_width: int = MAX_WIDTH, hot_from: int = HOT_FROM) -> DataFrame:
+    return cover.select("d", "th", at.alias("pos")).groupBy("d", "th").agg(F.collect_set("pos").alias("gone"))
+
+
+def _cut(raw: bytes | None, gone: np.ndarray | None, k: int) -> tuple[int, int, bytes]:
+    """Number of words, of removed ones, and the kept words, one space apart."""
+    parts = (raw or b"").split()
+    if gone is None:
+        return len(parts), 0, b" ".join(parts)
+    (w,) = windows(pa.array([raw], pa.binary()), k)
+    at = np.flatnonzero(np.isin(w.hashes, w.hashes[gone]))
+    if len(at) > len(gone):  # the windows that repeat inside the text
+        same = w.distinct(gone, k)
+        at = np.array([i for i in at.tolist() if w.digest(i, k) in same])
+    edge = np.zeros(len(parts) + 1, dtype=np.int64)
+    edge[at] += 1
+    np.add.at(edge, at + k, -1)
+    inside = np.cumsum(edge[:-1]) > 0
+    return len(parts), int(inside.sum()), b" ".join(p for p, c in zip(parts, inside.tolist(), strict=True) if not c)
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", k: int = WINDOW, max_width: int = MAX_WIDTH) -> DataFrame:
     """One row for each input row: (doc_id, n_words, n_removed, kept_text).
 
     A word is removed if a window of ``k`` words that covers it, as it stands in
@@ -253,32 +282,19 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", k: int
     joined by one space. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null texts
     have no words. A null doc_id counts as larger than all others; rows that
     repeat a doc_id do not remove each other's words. Texts of fewer than ``k``
-    words are kept whole. An empty table gives an empty result. Other
+    words are kept whole. A text of any length is taken whole, in one task. An empty table gives an empty result. Other
     columns are ignored.
     """
     t = F.col(column).cast("string")
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(t).alias("th"), t.alias("text"))
-    gone = covered(rows, k, max_width, hot_from).withColumnsRenamed({"d": "gd", "th": "gt"})
-    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(t).alias("th"), t.alias("text"))
+    d = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d")
+    gone = covered(docs.select(d, F.xxhash64(t).alias("th"), t.alias("text")), k, max_width).withColumnsRenamed({"d": "gd", "th": "gt"})
+    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), d, F.xxhash64(t).alias("th"), t.alias("text"))
     both = whole.join(gone, (F.col("d") == F.col("gd")) & (F.col("th") == F.col("gt")), "left").select("doc_id", "text", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text.slices(batches):
-            n_words, removed, kept = [], [], []
-            for raw, gone in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2), strict=True):
-                parts = (raw or b"").split()
-                n_words.append(len(parts))
-                n = 0
-                if gone.is_valid:
-                    edge = np.zeros(len(parts) + 1, dtype=np.int64)
-                    at = gone.values.to_numpy()
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + k, -1)
-                    inside = np.cumsum(edge[:-1]) > 0
-                    n = int(inside.sum())
-                    parts = [p for p, c in zip(parts, inside.tolist(), strict=True) if not c]
-                removed.append(n)
-                kept.append(b" ".join(parts))
+        for b in text.slices(batches, most=SLICE):
+            rows = [_cut(raw, g.values.to_numpy() if g.is_valid else None, k) for raw, g in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2), strict=True)]
+            n_words, removed, kept = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     return both.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -17,21 +17,35 @@ def words(rng, n):
     return [rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randint(0, 400)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("hot_from", [2, 1000])
-def test_windows_equal_brute_force(spark, hot_from):
+@pytest.mark.parametrize("gather", [2, 1 << 20])
+def test_windows_equal_brute_force(spark, monkeypatch, gather):
     import hashlib
 
+    monkeypatch.setattr(substring, "GATHER", gather)
     rng = random.Random(8)
     shared = words(rng, 80)
     rows = [(i, " ".join(words(rng, rng.randint(0, 150)))) for i in range(30)]
     rows += [(100 + i, " ".join([*words(rng, 20), *shared[rng.randint(0, 20) :], *words(rng, 5)])) for i in range(25)]
+    # Words that collide under any polynomial hash modulo 2**64.
+    morse = ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(2048)) for flip in (0, 1)]
+    rows += [(150 + i, " ".join([m, *shared[:49]])) for i, m in enumerate(morse)]
     rows += [(200, rows[3][1]), (200, rows[3][1]), (201, "\n".join(shared)), (202, ""), (203, "w " * 120), (204, "w " * 130)]
     df = spark.createDataFrame(rows + [(300, None)], SCHEMA).withColumns({"d": F.lit(1), "th": F.lit(2), "pos": F.lit("x")})
-    got = sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring.dedup(df, max_width=1 << 16, hot_from=hot_from).collect())
+    got = sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring.dedup(df, max_width=1 << 16).collect())
     assert got == sorted(substring.brute_force([*rows, (300, "")]))
     assert substring.dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 7])
+def test_short_windows_and_very_long_texts_equal_brute_force(spark, k):
+    import hashlib
+
+    rng = random.Random(k)
+    rows = [(i, "".join(rng.choice("ab") + rng.choice(" \t\n") for _ in range(rng.randint(0, 12)))) for i in range(40)] + [(50, "x y " * 100_000), (51, "y x " * 50_000 + "end")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring.dedup(spark.createDataFrame(rows, SCHEMA), k=k).collect())
+    assert got == sorted(substring.brute_force(rows, k))
+
+
 def test_shards_are_even_and_gapless(spark):
     rows = [(i, "hot text") for i in range(300)] + [(i, f"t{i % 550}") for i in range(300, 900)] + [(900, None), (901, ""), (None, "x"), (5, "hot text")]
     df = spark.createDataFrame(rows, SCHEMA).withColumns({"shard": F.lit("x"), "rid": F.lit(1), "grp": F.lit(2)})
