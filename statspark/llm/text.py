@@ -87,18 +87,21 @@ def _digest(value: bytes) -> int:
     return out
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """BLAKE2b, 64 bits, of the bytes of spans that do not overlap, in order. Each distinct span of a call is hashed once."""
-    n = len(starts)
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
+def span_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of spans that do not overlap, in order, as an Arrow column."""
     edge = np.zeros(len(data) + 1, dtype=np.int8)
     edge[starts] += 1
     edge[ends] -= 1
-    offsets = np.zeros(n + 1, dtype=np.int64)
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
     np.cumsum(ends - starts, out=offsets[1:])
-    spans = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)])])
-    found = spans.dictionary_encode()
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)])])
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """BLAKE2b, 64 bits, of the bytes of such spans. Each distinct span of a call is hashed once."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    found = span_array(data, starts, ends).dictionary_encode()
     each = np.array([_digest(x) for x in found.dictionary.to_pylist()], dtype=np.uint64)
     return each[found.indices.to_numpy()]
 

@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from statspark.llm import pii, queries, secrets
@@ -78,10 +80,70 @@ def test_guess_cost_orders_values():
     assert cost("x" * 20_000) < 8 and cost("Zq7&" * 2000) > 100
 
 
+def all_segmentations(value, words):
+    """The least cost over all segmentations, each segment of each kind, by plain recursion."""
+    low, plain = value.lower(), value.lower().translate(secrets._PLAIN)
+    mixed = math.log10(2) if value != low and value != value.upper() else 0.0
+    rank = {w: i + 1 for i, w in enumerate(dict.fromkeys([*secrets.WORDS, *words]))}
+
+    def segment(a, z):
+        part, n = low[a:z], z - a
+        costs = [sum(secrets._brute(c) + (mixed if c.isalpha() else 0.0) for c in value[a:z])]
+        if n >= 3 and len(set(part)) == 1:
+            costs.append(min(secrets._brute(c) for c in value[z - 1]) + math.log10(n))
+        if n >= 3 and all(part[j : j + 2] in secrets._NEXT for j in range(n - 1)):
+            costs.append(math.log10(len(secrets.ROWS) * 12 * 2 * n))
+        if n >= 3:
+            own = [rank[part]] if part in rank else [4 * rank[plain[a:z]]] if plain[a:z] in rank else []
+            costs += [math.log10(r * (2 if value[a:z] != part else 1) + 1) for r in own]
+        if secrets._DATE.fullmatch(value, a, z):
+            costs.append(secrets._date(n))
+        return math.log10(4) + min(costs)
+
+    best = [0.0]
+    for z in range(1, len(value) + 1):
+        best.append(min(best[a] + segment(a, z) for a in range(z)))
+    return best[-1]
+
+
+def test_guess_cost_is_the_minimum_over_all_segmentations():
+    rng = random.Random(6)
+    guesser = secrets.Guesser(["tulip", "lip", "dddd"])
+    parts = ["password", "p@ss", "dddd", "d", "2000", "1234", "qwer", "Tulip", "lip", "X", "9", "$", "20001234", "2020-0101", "aaa", "AAAA", "fds", "0", "é"]
+    for value in ["passworddddd", "20001234", "aaaabcd", "111123", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(1500))]:
+        assert guesser.cost(value) == pytest.approx(all_segmentations(value, ["tulip", "lip", "dddd"])), value
+
+
 def test_secret_scan(spark):
-    data = [(1, "pwd: X9$kQ2!vLp end"), (2, "pwd: password"), (3, "the token = abcdef123456"), (4, None), (5, "")]
-    got = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(spark.createDataFrame(data, SCHEMA).withColumn("base", F.lit(1)))).collect()}
-    assert got == {1: "guess:5:15", 2: "", 3: "assign:4:24", 4: "", 5: ""}
+    data = [
+        (1, "pwd: X9$kQ2!vLp end"), (2, "pwd: password"), (3, "the token = abcdef123456"), (4, None), (5, ""), (6, "PASSWORD IS X9$kQ2!vLp"), (7, "secret=Zq8#Lm2@Wx and secret=Zq8#Lm2@Wx"),
+        (8, "x " * 500_000 + "login: v7R!m4Kd$"), (9, "token: kT5vB8nM3qLx"),
+    ]
+    df = spark.createDataFrame([*data, data[0], (None, data[0][1])], SCHEMA).withColumns({"base": F.lit(1), "word": F.lit("x"), "added": F.lit(2)})
+    out = secrets.digest(secrets.scan(df)).collect()
+    got = {r.doc_id: r.spans for r in out if r.doc_id}
+    assert got == {
+        1: "guess:5:15", 2: "", 3: "assign:4:24", 4: "", 5: "", 6: "guess:12:22", 7: "guess:7:17,guess:29:39", 8: "guess:1000007:1000016", 9: "assign:0:19,guess:7:19",
+    }
+    assert sorted(r.spans for r in out if r.doc_id in (1, None)) == ["guess:5:15"] * 3
+    assert {r.doc_id: r.n_guess for r in out}[9] == 1 and {r.doc_id: r.weakest for r in out}[2] < 3
+
+
+def test_corpus_words_are_counted_over_all_texts(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["Tulip tulip, rose", "tulip rose oak", None, "", "ab a1oak oak " * 3])], SCHEMA)
+    assert secrets.common_words(df, most=3) == ["oak", "tulip", "rose"]
+    assert secrets.common_words(df.limit(0)) == []
+
+
+def test_planted_secrets_are_found(spark):
+    """Random values of eight characters and more in credential contexts, none of which a base pattern takes."""
+    rng = random.Random(9)
+    names = ["password", "pwd", "login", "auth_key", "client-secret", "Bearer", "passphrase", "api-key"]
+    texts = [f"see {rng.choice(names)}{rng.choice([': ', '=', ' is ', ' => '])}{''.join(rng.choice('aZ9kQ2vLpR7mX4') + rng.choice('!$#%&*') for _ in range(rng.randint(4, 8)))} here" for _ in range(300)]
+    plain = [f"the {rng.choice(names)} is {rng.choice(['required', 'password', 'qwertyuiop', '12345678', 'summer2019', 'aaaaaaaa'])} here" for _ in range(300)]
+    out = secrets.scan(spark.createDataFrame(list(enumerate(texts + plain)), SCHEMA)).collect()
+    assert sum(len(r.added) == 1 for r in out if r.doc_id < 300) >= 295
+    assert sum(len(r.added) > 0 for r in out if r.doc_id >= 300) == 0
 
 
 def test_every_operator_has_a_query():
