@@ -59,6 +59,112 @@ def test_contexts_find_unseen_identifiers(spark):
     assert (got[54].n_email, got[54].base_sha256) == (1, pii.sha([("email", 0, 6)]))
 
 
+def brute_graph(found):
+    """The rounds of the graph by plain loops: {instance: (kind, score)}."""
+    edges = {(i, k, a, p) for i, k, a, ps in found for p in ps}
+    accepted = {}
+    while True:
+        total, conf = {}, {}
+        for i, kind, allows, p in edges:
+            own, w = (kind, 1.0) if kind else accepted.get(i, (None, 0.0))
+            for j, name in enumerate(pii.KINDS):
+                s = total.setdefault((p, j), [0.0, 0])
+                s[0] += w * (own == name)
+                s[1] += allows >> j & 1
+        for key, (w, n) in total.items():
+            if w >= pii.MIN_SEEDS and n and w / n >= pii.MIN_CONFIDENCE - 1e-9:
+                conf[key] = w / n
+        votes = {}
+        for i, kind, allows, p in edges:
+            if kind is None and i not in accepted:
+                for j in range(4):
+                    if allows >> j & 1 and (p, j) in conf:
+                        votes.setdefault(i, {}).setdefault(j, []).append(min(conf[p, j], 0.999))
+        new = {}
+        for i, by in votes.items():
+            scores = {j: 1 - math.prod(1 - c for c in cs) for j, cs in by.items() if len(cs) >= pii.MIN_PATTERNS}
+            if not scores:
+                continue
+            j = min(scores, key=lambda x: (-round(scores[x], 9), x))
+            if scores[j] >= pii.ACCEPT:
+                new[i] = (pii.KINDS[j], scores[j])
+        if not new:
+            return accepted
+        accepted |= new
+
+
+def test_score_graph_equals_plain_loops(spark):
+    rng = random.Random(12)
+    found = []
+    for _ in range(900):
+        topic = rng.randrange(8)
+        i = topic * 100 + rng.randrange(40 if topic < 4 else 4)
+        kind = pii.KINDS[topic % 4] if topic < 4 and i % 100 < 35 else None
+        found.append((i, kind, 1 << topic % 4 | (i % 16 if kind is None and i % 3 == 0 else 0), [topic * 10 + rng.randrange(3), 200 + topic // 4, 300 + topic % 4 * 5 + rng.randrange(2)]))
+    got = pii.score_graph(spark.createDataFrame(found, "instance long, kind string, allows int, patterns array<long>")).collect()
+    want = brute_graph(found)
+    assert {r.instance: r.kind for r in got} == {i: k for i, (k, _) in want.items()} and len(want) >= 8
+    assert all(abs(r.score - want[r.instance][1]) < 1e-6 for r in got)
+
+
+def test_discovery_goes_on_from_accepted_identifiers(spark):
+    """Tokens in contexts that only discovered identifiers share, and never a seed."""
+    rows = [f"write to staff{i + 100}@mail.example.com now" for i in range(40)]
+    rows += [f"write to staff{i}_at_mail_{1000 + i} now" for i in range(8)]
+    rows += [f"alias: staff{i}_at_mail_{1000 + i} ok" for i in range(8)] + ["alias: someone_at_home_4321 ok", "width: someone_at_home_4322 ok"]
+    out = pii.digest(pii.find(spark.createDataFrame(list(enumerate(rows)), SCHEMA))).collect()
+    got = {r.doc_id: r.spans for r in out}
+    assert all(got[40 + i].startswith("ctx_email:9:") and got[48 + i].startswith("ctx_email:7:") for i in range(8))
+    assert got[56].startswith("ctx_email:7:") and got[57] == ""
+
+
+def planted(rng):
+    """(text, kind of an identifier that no base pattern takes, or None, its start and end), with seeds in the same contexts."""
+    leads = {"email": ["reach me via", "send mail to", "mailbox:"], "ip": ["host at", "address is", "pinged"], "card": ["charged to card", "visa number", "paid by"], "phone": ["call me on", "tel.", "dial"]}
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def luhn_card(ok):
+        while True:
+            x = "4" + d(15)
+            if pii.luhn(x) == ok:
+                return x
+
+    seed = {"email": lambda: f"u{d(6)}@mail.example.org", "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), "card": lambda: luhn_card(True), "phone": lambda: f"+44 {d(4)} {d(6)}"}
+    odd = {"email": lambda: f"u{d(6)}_at_mail_org", "ip": lambda: ":".join(d(4) for _ in range(8)), "card": lambda: luhn_card(False), "phone": lambda: f"0{d(4)}-{d(6)}"}
+    rows = []
+    for _ in range(1600):
+        kind = rng.choice(list(leads))
+        lead = rng.choice(leads[kind])
+        fill = " ".join(rng.choice(["some", "plain", "words", "of", "prose"]) for _ in range(rng.randrange(1, 9)))
+        what = rng.random()
+        if what < 0.8:
+            rows.append((f"{fill} {lead} {seed[kind]()} thanks {fill}", None, 0, 0))
+        elif what < 0.9:
+            token = odd[kind]()
+            at = len(f"{fill} {lead} ")
+            rows.append((f"{fill} {lead} {token} thanks {fill}", kind, at, at + len(token)))
+        else:
+            rows.append((f"{fill} {rng.choice(['order no.', 'version', 'built on', 'part'])} {rng.choice([d(8), d(16), 'x' + d(9), d(2) + '.' + d(4)])} {fill}", None, 0, 0))
+    return rows
+
+
+def test_precision_and_recall_of_planted_identifiers(spark):
+    rows = planted(random.Random(5))
+    out = {r.doc_id: r.added for r in pii.find(spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], SCHEMA)).collect()}
+    for kind in pii.KINDS:
+        want = {(i, a, z) for i, (_, k, a, z) in enumerate(rows) if k == kind}
+        got = {(i, s.start, s.end) for i, added in out.items() for s in added if s.kind == f"ctx_{kind}"}
+        assert len(want & got) >= 0.9 * len(want) and len(want & got) >= 0.9 * len(got), (kind, len(want), len(got), len(want & got))
+
+
+def test_very_long_texts_and_equal_rows(spark):
+    long = "pad " * 300_000 + "write to a@b.cc now " + "z" * 100_000 + " 1234567890123456"
+    df = spark.createDataFrame([(1, long), (1, long), (2, "tie a@b.cc"), (3, "tie a@b.cc")], SCHEMA)
+    got = [(r.doc_id, r.spans) for r in pii.digest(pii.find(df)).collect()]
+    at = long.index("a@b.cc")
+    assert sorted(got) == [(1, f"email:{at}:{at + 6}")] * 2 + [(2, "email:4:10"), (3, "email:4:10")]
+
+
 def test_redaction_keeps_columns(spark):
     df = spark.createDataFrame([(d, t, "s", len(t or "")) for d, t in rows()], SCHEMA + ", source string, n_chars long")
     out = pii.redact(df)
