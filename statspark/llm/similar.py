@@ -11,7 +11,8 @@ and completes them by prefix keys, which miss no pair:
 3. Members of a key are compared by size and by their places in the order, which bound the similarity from
    above, and then by their whole sets.
 
-Members of large keys, as thousands of near copies make, are first tied to one of them, another in each round.
+While there are many pairs to compare, as thousands of near copies make, members of a key are first tied to one of them, another in each round, as long
+as this halves what is left to compare. It saves comparisons within components and drops none.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ COUNTERS = 1 << 22
 #: Parts of the sketch that are merged apart.
 PARTS = 16
 #: Pairs for each member of a key up to which all pairs are compared at once.
-PAIRWISE = 2
+PAIRWISE = 8
 
 _U = np.uint64
 
@@ -68,10 +69,17 @@ def fingerprints(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     n = np.diff(starts)
     out = np.zeros(len(n), dtype=np.uint64)
     some = np.flatnonzero(n)
-    if len(some):
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, starts[:-1][some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * ones > n[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
+    if not len(some):
+        return out
+    # Bits j, j + 8, ... of blocks of at most 255 hashes are counted at once, a byte for each.
+    blocks = -(-n[some] // 255)
+    first = np.cumsum(blocks) - blocks
+    at = np.repeat(starts[:-1][some], blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
+    for j in range(8):
+        counts = np.add.reduceat((hashes >> _U(j)) & _U(0x0101010101010101), at)
+        ones = np.add.reduceat(counts.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+        for byte in range(8):
+            out[some] |= (2 * ones[:, byte] > n[some]).astype(np.uint64) << _U(8 * byte + j)
     return out
 
 
@@ -173,18 +181,16 @@ def components(docs: DataFrame, start: DataFrame | None, k: int, similarity: flo
     links = comp = None
     made: list[DataFrame] = []
 
-    def link(pairs: DataFrame) -> int:
+    def link(pairs: DataFrame) -> None:
         nonlocal links, comp
         new = _similar(pairs.distinct(), docs, k, similarity)
-        found = new.count()
-        if found:
+        if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             store.drop(comp)
             comp = graph.components(links)
             made.append(new)
         else:
             store.drop(new)
-        return found
 
     if start is not None:
         link(start)
@@ -194,7 +200,7 @@ def components(docs: DataFrame, start: DataFrame | None, k: int, similarity: flo
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.max(early).alias("e")).filter("n > 1 AND e").select(F.col("key").alias("q"))
     shared = store.table(keys.join(sizes, F.col("key") == F.col("q"), "left_semi").withColumn("early", early), "shared")
     store.drop(keys)
-    n_rows, found, turn = shared.count(), 1, 0
+    n_rows, before, turn = shared.count(), math.inf, 0
     while True:
         label = shared.withColumn("c", F.col("v")) if comp is None else shared.join(comp, shared.v == comp.node, "left").select("key", "v", "m", "pos", "early", F.coalesce("component", "v").alias("c"))
         by = label.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum(F.col("early").cast("long")).alias("e"))
@@ -205,7 +211,7 @@ def components(docs: DataFrame, start: DataFrame | None, k: int, similarity: flo
         if not left:
             store.drop(open_)
             break
-        last = left <= PAIRWISE * n_rows or not found
+        last = left <= PAIRWISE * n_rows or left > before / 2
         some = store.table(label.join(open_, F.col("key") == F.col("q"), "left_semi"), "label")
         if last:
             other = some.select(F.col("key").alias("q"), F.col("v").alias("v2"), F.col("m").alias("m2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"))
@@ -217,7 +223,8 @@ def components(docs: DataFrame, start: DataFrame | None, k: int, similarity: flo
             tied = some.join(pivot, (F.col("key") == F.col("q")) & (F.col("c") != F.col("c2")) & _may(similarity))
             # One comparison for each member and round.
             pairs = tied.groupBy("v").agg(F.min_by("v2", F.struct(F.xxhash64("v2", F.lit(turn)), "v2")).alias("w")).select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v"))
-        found, turn = link(pairs), turn + 1
+        link(pairs)
+        before, turn = left, turn + 1
         store.drop(open_, some)
         if last:
             break

@@ -53,11 +53,8 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: Two odd multipliers; any odd values serve.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Distinct words whose hashes a worker remembers; beyond it, it starts anew.
-REMEMBER = 1 << 20
-
-_KNOWN: dict[bytes, int] = {}
-
+#: Spans of more bytes are hashed by BLAKE2b.
+SHORT = 64
 
 def mix(h: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
@@ -76,17 +73,6 @@ def lane(h: np.ndarray, n: int) -> np.ndarray:
     return mix(h ^ _U(BASES[n % 2])) if n else h
 
 
-def _digest(value: bytes) -> int:
-    out = _KNOWN.get(value)
-    if out is None:
-        if len(_KNOWN) >= REMEMBER:
-            _KNOWN.clear()
-        out = int.from_bytes(hashlib.blake2b(value, digest_size=8).digest(), "little")
-        if len(value) <= 64:
-            _KNOWN[value] = out
-    return out
-
-
 def span_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The bytes of spans that do not overlap, in order, as an Arrow column."""
     edge = np.zeros(len(data) + 1, dtype=np.int8)
@@ -97,13 +83,31 @@ def span_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arr
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)])])
 
 
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """BLAKE2b, 64 bits, of the bytes of such spans. Each distinct span of a call is hashed once."""
+    """64-bit hashes of the bytes of spans: their length and then eight bytes at a time, each mixed in; BLAKE2b for those over SHORT bytes."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64))
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    found = span_array(data, starts, ends).dictionary_encode()
-    each = np.array([_digest(x) for x in found.dictionary.to_pylist()], dtype=np.uint64)
-    return each[found.indices.to_numpy()]
+        return out
+    padded = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
+    eight = np.empty(len(data) + 8, dtype=np.uint64)  # the eight bytes from each place on
+    for o in range(8):
+        part = eight[o::8]
+        part[:] = padded[o : o + 8 * len(part)].view("<u8")
+    short = size <= SHORT
+    rows = np.arange(len(starts)) if short.all() else np.flatnonzero(short)
+    for at in range(0, SHORT, 8):
+        if at:
+            rows = rows[size[rows] > at]
+        if not len(rows):
+            break
+        out[rows] = pair(out[rows], eight[starts[rows] + at] & _MASK[np.minimum(size[rows] - at, 8)])
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
