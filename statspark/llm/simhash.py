@@ -163,8 +163,9 @@ def _kept_by_similarity(base: DataFrame, rid: str, doc_id: str, column: str, k:
     rank = base.select(F.col(rid).alias("r0"), F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), F.col(rid).alias("c")).alias("r"))
     groups = signed.join(rank, F.col("rid") == F.col("r0")).groupBy("same").agg(F.min("rid").alias("node"), F.min("r").alias("r"), F.min("fp").alias("fp"))
     distinct = store.table(groups.select("node", "r", "fp"), "distinct")
+    copies = store.table(signed.select(F.col("rid").alias("q")).join(distinct, F.col("q") == F.col("node"), "left_anti"), "copies")
     store.drop(signed)
-    unique = store.table(rows.join(distinct.select("node"), F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), "text"), "unique")
+    unique = similar.by_ids(rows.withColumnRenamed("rid", "node"), copies, "left_anti")
     # The Golay search: texts whose fingerprints are near, as pairs of texts.
     own = store.table(distinct.groupBy("fp").agg(F.min("node").alias("least")), "own")
     near = links(own)
@@ -177,7 +178,7 @@ def _kept_by_similarity(base: DataFrame, rid: str, doc_id: str, column: str, k:
         label = comp.select(F.col("node").alias("q"), "component")
         first = first.join(label, F.col("node") == F.col("q"), "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("r").alias("r"))
     out = store.table(first.select(F.col("r.c").alias("kept")), "kept")
-    store.drop(unique, own, near, distinct, comp)
+    store.drop(copies, own, near, distinct, comp)
     return out
 
 

@@ -9,15 +9,14 @@ and completes them by prefix keys, which miss no pair:
    use, and one of the first ``m - ceil(2 * s / (1 + s) * m) + 1`` of the smaller. Passages that many texts
    share are frequent, so they are no keys unless a text holds little else.
 3. Members of a key are compared by size and by their places in the order, which bound the similarity from
-   above, and then by their whole sets.
+   above, then by the parities of 1,024 parts of their sets, which differ in no more places than the sets have elements that they do not share, and then by their whole sets.
 
-While there are many pairs to compare, as thousands of near copies make, members of a key are first tied to one of them, another in each round, as long
-as this halves what is left to compare. It saves comparisons within components and drops none.
+While there are many pairs to compare, as thousands of near copies make, members of a key are first compared with one of them, another in each of ROUNDS
+rounds. It saves comparisons within components and drops none.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +31,14 @@ from . import graph, store, text
 COUNTERS = 1 << 22
 #: Parts of the sketch that are merged apart.
 PARTS = 16
+#: Longs of parities for each set, and in the rows of keys.
+PARITIES, FOLDED = 16, 4
+#: Ids up to which a list of them is broadcast (8 bytes each); longer lists are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Pairs for each member of a key up to which all pairs are compared at once.
-PAIRWISE = 8
+PAIRWISE = 4
+#: Rounds in which members of keys are compared with one or two of them only.
+ROUNDS = 2
 
 _U = np.uint64
 
@@ -140,50 +145,89 @@ def prefix_keys(docs: DataFrame, k: int, similarity: float, classes: np.ndarray)
     return docs.select("node", "text").mapInArrow(run, "key long, v long, m int, pos int")
 
 
+def parities(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(texts, PARITIES) bits that tell whether a part of each set of distinct hashes has an odd number of them."""
+    n, bits = len(starts) - 1, 64 * PARITIES
+    part = np.repeat(np.arange(n), np.diff(starts)) * bits + (hashes >> _U(64 - bits.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(part, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+    return np.packbits(odd, axis=1, bitorder="little").view("<i8")
+
+
+def folded(docs: DataFrame, k: int) -> DataFrame:
+    """(node, y0, y1, ...) from (node, text): the parities folded to FOLDED longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text.slices(batches):
+            h, starts = shingles([normal(x) for x in b.column(1).cast(pa.binary()).to_pylist()], k)
+            sets = [np.unique(h[a:z]) for a, z in zip(starts, starts[1:])]
+            odd = parities(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+            odd = np.bitwise_xor.reduce(odd.reshape(len(sets), -1, FOLDED), axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(odd[:, j])) for j in range(FOLDED))], names=["node", *(f"y{j}" for j in range(FOLDED))])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, " + ", ".join(f"y{j} long" for j in range(FOLDED)))
+
+
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) from (node, text); each distinct shingle once."""
+    """(node, m, x0, x1, ..., shingles) from (node, text): size, parities and each distinct shingle once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text.slices(batches):
             h, starts = shingles([normal(x) for x in b.column(1).cast(pa.binary()).to_pylist()], k)
-            sets = [np.unique(h[a:z]).view(np.int64) for a, z in zip(starts, starts[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [np.unique(h[a:z]) for a, z in zip(starts, starts[1:])]
+            m = np.array([len(x) for x in sets])
+            odd = parities(np.concatenate(sets), np.concatenate([[0], np.cumsum(m)]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(m.astype(np.int32)), *(pa.array(np.ascontiguousarray(odd[:, j])) for j in range(PARITIES)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
+                names=["node", "m", *(f"x{j}" for j in range(PARITIES)), "shingles"],
+            )
 
-    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    return docs.select("node", "text").mapInArrow(run, "node long, m int, " + "".join(f"x{j} long, " for j in range(PARITIES)) + "shingles array<long>")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose node is (left_semi) or is not (left_anti) in the written list ``ids`` (q)."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("node") == F.col("q"), how)
+
+
+def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """A written table of the pairs (u, v) whose sizes and parities allow the similarity."""
+    odd = [f"x{j}" for j in range(PARITIES)]
+    a, b = (sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("m", *odd))) for x in "ab")
+    m, n = F.col("a_m"), F.col("b_m")
+    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in odd), F.lit(0))
+    near = (F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (m + n) + 1e-9)
+    return store.table(pairs.join(a, F.col("u") == F.col("a")).join(b, (F.col("v") == F.col("b")) & near).select("u", "v"), "near")
+
+
+def _similar(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """A written table of the pairs (u, v) whose whole sets are as similar."""
-    pairs = store.table(pairs, "pairs")
-    members = pairs.select(F.explode(F.array("u", "v")).alias("q")).distinct()
-    sets = store.table(shingle_sets(docs.join(members, F.col("node") == F.col("q"), "left_semi"), k), "sets")
-    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(s)) for x, s in (("a", "of_u"), ("b", "of_v")))
-    both = pairs.join(a, F.col("u") == F.col("a")).join(b, F.col("v") == F.col("b"))
-    m, n = F.size("of_u"), F.size("of_v")
-    both = both.filter(F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9).withColumn("common", F.size(F.array_intersect("of_u", "of_v")))
-    out = store.table(both.filter(F.col("common") >= similarity * (m + n - F.col("common")) - 1e-9).select("u", "v"), "links")
-    store.drop(pairs, sets)
-    return out
+    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    both = near.join(a, F.col("u") == F.col("a")).join(b, F.col("v") == F.col("b"))
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    both = both.select("u", "v", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("total"))
+    return store.table(both.filter(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select("u", "v"), "links")
 
 
-def _may(similarity: float, x: str = "", y: str = "2") -> Column:
-    """Whether the sizes, and the places of the first shared shingle, allow the similarity."""
-    m, n, i, j = (F.col(c) for c in (f"m{x}", f"m{y}", f"pos{x}", f"pos{y}"))
+def _may(similarity: float) -> Column:
+    """Whether the sizes, the places of the first shared shingle and the folded parities of a row and another one allow the similarity."""
+    m, n, i, j = (F.col(c) for c in ("m", "m2", "pos", "pos2"))
     sizes = F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
-    return sizes & (F.least(m - i, n - j) >= similarity / (1 + similarity) * (m + n) - 1e-9)
+    differ = sum((F.bit_count(F.col(f"y{j}").bitwiseXOR(F.col(f"y{j}_2"))) for j in range(FOLDED)), F.lit(0))
+    return sizes & (differ <= (1 - similarity) / (1 + similarity) * (m + n) + 1e-9) & (F.least(m - i, n - j) >= similarity / (1 + similarity) * (m + n) - 1e-9)
 
 
 def components(docs: DataFrame, start: DataFrame | None, k: int, similarity: float) -> DataFrame | None:
-    """(node, component) of linked nodes of written rows (node, text) with distinct texts; None if nothing is linked.
+    """(node, component) of linked nodes of rows (node, text) with distinct texts; None if nothing is linked.
 
     ``start``: pairs (u, v) of nodes to be compared at first.
     """
     links = comp = None
     made: list[DataFrame] = []
 
-    def link(pairs: DataFrame) -> None:
+    def verify(near: DataFrame, sets: DataFrame) -> None:
         nonlocal links, comp
-        new = _similar(pairs.distinct(), docs, k, similarity)
+        new = _similar(near, sets, similarity)
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             store.drop(comp)
@@ -192,17 +236,39 @@ def components(docs: DataFrame, start: DataFrame | None, k: int, similarity: flo
         else:
             store.drop(new)
 
+    def link(pairs: DataFrame) -> None:
+        pairs = store.table(pairs.distinct(), "pairs")
+        members = store.table(pairs.select(F.explode(F.array("u", "v")).alias("q")).distinct(), "members")
+        sets = store.table(shingle_sets(by_ids(docs, members, "left_semi"), k), "sets")
+        near = _near(pairs, sets, similarity)
+        # One pair for each member first, and then what is not yet in one component.
+        first = store.table(near.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "near")
+        verify(first, sets)
+        rest = first
+        if comp is not None:
+            of = [comp.select(F.col("node").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "uv"]
+            rest = near.join(of[0], F.col("u") == F.col("nu"), "left").join(of[1], F.col("v") == F.col("nv"), "left")
+            rest = store.table(rest.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v"), "near")
+            verify(rest, sets)
+        else:
+            verify(near, sets)
+        store.drop(pairs, members, sets, near, first, rest)
+
     if start is not None:
         link(start)
     keys = store.table(prefix_keys(docs, k, similarity, frequencies(docs, k)), "keys")
     # A key is of use from two members on, of which one has it among the first of a smaller set.
     early = F.col("pos") <= F.col("m") - F.ceil(2 * similarity / (1 + similarity) * F.col("m") - 1e-9)
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.max(early).alias("e")).filter("n > 1 AND e").select(F.col("key").alias("q"))
-    shared = store.table(keys.join(sizes, F.col("key") == F.col("q"), "left_semi").withColumn("early", early), "shared")
-    store.drop(keys)
-    n_rows, before, turn = shared.count(), math.inf, 0
+    bare = store.table(keys.join(sizes, F.col("key") == F.col("q"), "left_semi").withColumn("early", early), "bare")
+    members = store.table(bare.select(F.col("v").alias("q")).distinct(), "members")
+    odd = store.table(folded(by_ids(docs, members, "left_semi"), k), "odd")
+    ys = [f"y{j}" for j in range(FOLDED)]
+    shared = store.table(bare.join(odd, F.col("v") == F.col("node")).select("key", "v", "m", "pos", "early", *ys), "shared")
+    store.drop(keys, bare, members, odd)
+    n_rows, turn = shared.count(), 1
     while True:
-        label = shared.withColumn("c", F.col("v")) if comp is None else shared.join(comp, shared.v == comp.node, "left").select("key", "v", "m", "pos", "early", F.coalesce("component", "v").alias("c"))
+        label = shared.withColumn("c", F.col("v")) if comp is None else shared.join(comp, shared.v == comp.node, "left").select("key", "v", "m", "pos", "early", *ys, F.coalesce("component", "v").alias("c"))
         by = label.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum(F.col("early").cast("long")).alias("e"))
         counts = by.groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum(F.col("n").cast("double") * F.col("e")).alias("own"), F.count("*").alias("comps"))
         # A key whose members are in one component needs no more comparison.
@@ -211,20 +277,21 @@ def components(docs: DataFrame, start: DataFrame | None, k: int, similarity: flo
         if not left:
             store.drop(open_)
             break
-        last = left <= PAIRWISE * n_rows or left > before / 2
+        last = left <= PAIRWISE * n_rows or turn > ROUNDS
         some = store.table(label.join(open_, F.col("key") == F.col("q"), "left_semi"), "label")
         if last:
-            other = some.select(F.col("key").alias("q"), F.col("v").alias("v2"), F.col("m").alias("m2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"))
+            other = some.select(F.col("key").alias("q"), F.col("v").alias("v2"), F.col("m").alias("m2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"), *(F.col(y).alias(f"{y}_2") for y in ys))
             smaller = (F.col("m") < F.col("m2")) | (F.col("m") == F.col("m2")) & (F.col("v") < F.col("v2"))
             pairs = some.filter("early").join(other, (F.col("key") == F.col("q")) & (F.col("c") != F.col("c2")) & smaller & _may(similarity))
             pairs = pairs.select(F.least("v", "v2").alias("u"), F.greatest("v", "v2").alias("v"))
         else:
-            pivot = some.groupBy("key").agg(F.min_by(F.struct("v", "m", "pos", "c"), F.struct(F.xxhash64("v", F.lit(turn)), "v")).alias("p")).select(F.col("key").alias("q"), F.col("p.v").alias("v2"), F.col("p.m").alias("m2"), F.col("p.pos").alias("pos2"), F.col("p.c").alias("c2"))
+            pivot = some.groupBy("key").agg(F.min_by(F.struct("v", "m", "pos", "c", *ys), F.struct(F.xxhash64("v", F.lit(turn)), "v")).alias("p")).select(F.col("key").alias("q"), F.col("p.v").alias("v2"), F.col("p.m").alias("m2"), F.col("p.pos").alias("pos2"), F.col("p.c").alias("c2"), *(F.col(f"p.{y}").alias(f"{y}_2") for y in ys))
             tied = some.join(pivot, (F.col("key") == F.col("q")) & (F.col("c") != F.col("c2")) & _may(similarity))
-            # One comparison for each member and round.
-            pairs = tied.groupBy("v").agg(F.min_by("v2", F.struct(F.xxhash64("v2", F.lit(turn)), "v2")).alias("w")).select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v"))
+            # Two comparisons for each member and round.
+            order = F.struct(F.xxhash64("v2", F.lit(turn)), "v2")
+            pairs = tied.groupBy("v").agg(F.array(F.min_by("v2", order), F.max_by("v2", order)).alias("w")).select("v", F.explode("w").alias("w")).select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v"))
         link(pairs)
-        before, turn = left, turn + 1
+        turn += 1
         store.drop(open_, some)
         if last:
             break
