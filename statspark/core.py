@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 By = str | Sequence[str] | None
@@ -45,9 +46,12 @@ def coerce(df: DataFrame, by: By = None, weight: str | None = None, **values: Co
     return out.dropna(subset=[*values, *([] if clean else ["w"])])
 
 
-def one_row_or_groups(df: DataFrame, by: By):  # noqa: ANN201
-    """groupBy that also works without groups."""
-    return df.groupBy(*groups(by))
+def from_arrays(spark: SparkSession, **columns: Sequence) -> DataFrame:
+    """A table from local arrays of one length (lists, numpy arrays, pandas or Arrow columns); nulls stay null."""
+    arrays = {k: v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()}
+    if len({len(v) for v in arrays.values()}) > 1:
+        raise ValueError("all columns must have the same length")
+    return spark.createDataFrame(pa.table(arrays))
 
 
 def join_groups(left: DataFrame, right: DataFrame, by: By, how: str = "inner") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import By, groups, number
+from ..core import By, groups, join_groups, number
+from ..plans.prefix import quantiles
 
 #: Quantile levels that the Freedman-Diaconis rule widens to while the range is zero.
 FD_LEVELS = (1 / 4, *(1 / 2**k for k in range(3, 11)))
@@ -29,11 +30,12 @@ def bin_count(df: DataFrame, column: str, rule: str = "fd", by: By = None) -> Da
     aggs = [F.count(x).cast("double").alias("n")]
     if rule in ("fd", "scott"):
         aggs += [F.min(x).alias("lo"), F.max(x).alias("hi"), F.stddev_samp(x).alias("sd")]
-    if rule == "fd":
-        aggs.append(F.percentile(x, F.array(*(F.lit(p) for a in FD_LEVELS for p in (a, 1 - a)))).alias("q"))
     if rule == "doane":
         aggs.append(F.skewness(x).alias("g"))
     out = df.groupBy(*groups(by)).agg(*aggs)
+    if rule == "fd":
+        values = df.select(*groups(by), x.alias("__v")).filter("__v IS NOT NULL")
+        out = join_groups(out, quantiles(values, "__v", [p for a in FD_LEVELS for p in (a, 1 - a)], "q", by), by, "left")
     n = F.col("n")
     if rule == "fd":
         h = None

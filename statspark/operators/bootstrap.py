@@ -10,18 +10,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import By, coerce, groups, join_groups, number, sdiv, truth
 from ..functions.numeric import norm_cdf, norm_ppf, poisson_draw, with_hash_uniform
-from ..plans.prefix import running
+from ..plans.prefix import running, with_slices
 from . import metrics as M
 
 METHODS = ("standard", "percentile", "basic", "BCa")
 SAMPLERS = ("multinomial", "poisson")
-#: Distinct (score, label, weight) cells up to which a leave-one-out value is evaluated for each.
-JACKKNIFE_CELLS = 5_000
+#: Distinct weights up to which BCa intervals of average precision and KS are offered: each weight has prefix sums of its own.
+JACKKNIFE_WEIGHTS = 1_000
+#: Rows up to which BCa intervals of any statistic are offered: it is evaluated once without each row.
+JACKKNIFE_ROWS = 10_000
 
 
 def standard_interval(reps: DataFrame, point: DataFrame, alpha: float, by: By = None) -> DataFrame:
@@ -74,6 +76,20 @@ def bca_interval(reps: DataFrame, point: DataFrame, jack: DataFrame, alpha: floa
     return s.select(*keys, F.when(usable, at(alpha)).alias("lower"), "point", F.when(usable, at(1 - alpha)).alias("upper"))
 
 
+def running_before(steps: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds ``prior_<c>``: the value of rising column c at the step before, within ``lw``; 0 at the first.
+
+    A slice looks its own rows up in order; its first row takes the largest value of the slices before.
+    """
+    inner = Window.partitionBy("lw", "__slice").orderBy("s")
+    before = Window.partitionBy("lw").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = steps.groupBy("lw", "__slice").agg(*(F.max(c).alias(f"m_{c}") for c in columns))
+    ends = ends.select(F.col("lw").alias("lw1"), F.col("__slice").alias("sl1"), *(F.coalesce(F.max(f"m_{c}").over(before), F.lit(0.0)).alias(f"e_{c}") for c in columns))
+    held = steps.withColumns({f"lag_{c}": F.lag(c).over(inner) for c in columns})
+    out = held.join(ends, (F.col("lw") == F.col("lw1")) & (F.col("__slice") == F.col("sl1")))
+    return out.withColumns({f"prior_{c}": F.coalesce(f"lag_{c}", f"e_{c}") for c in columns}).select(*steps.columns, *(f"prior_{c}" for c in columns))
+
+
 class Bootstrap:
     """Intervals of metrics over replicates.
 
@@ -123,15 +139,67 @@ class Bootstrap:
         point = metric(rows, weight="w", by=None)
         return self._interval(reps.select(F.col(name).alias("value")), point.select(F.col(name).alias("point")), None, jack() if self.method == "BCa" else None)
 
-    def _by_cells(self, rows: DataFrame, values: Sequence[str], metric: Callable[..., DataFrame], name: str) -> DataFrame:
-        """Leave-one-out values for each distinct cell of values and weight, by evaluating the metric without one row of it."""
-        cells = rows.groupBy(*values, "w").agg(F.count("*").cast("double").alias("times"))
-        cells = cells.withColumn("cell", F.xxhash64(*values, "w"))
-        if (n := cells.count()) > JACKKNIFE_CELLS:
-            raise NotImplementedError(f"BCa of {name} evaluates every distinct cell, of which there are {n}; at most {JACKKNIFE_CELLS} are allowed")
-        left = cells.select(F.col("cell").alias("out"), F.col("times").alias("out_times"))
-        each = cells.crossJoin(F.broadcast(left)).withColumn("w", F.col("w") * (F.col("times") - (F.col("cell") == F.col("out")).cast("double")))
-        return join_groups(metric(each, weight="w", by="out").select("out", F.col(name).alias("value")), left.select("out", F.col("out_times").alias("times")), "out").select("value", "times")
+    def _steps(self, rows: DataFrame, descending: bool) -> tuple[DataFrame, DataFrame]:
+        """Distinct scores (s, p, n, cum_p, cum_n), each once for each distinct weight ``lw``, with totals; and cells (s, y, w, times).
+
+        Leaving out a row changes all steps from its score on in the same way for equal weights, so prefix sums for each weight give all
+        leave-one-out values.
+        """
+        weights = [r["w"] for r in rows.select("w").distinct().limit(JACKKNIFE_WEIGHTS + 1).collect()]
+        if len(weights) > JACKKNIFE_WEIGHTS:
+            raise NotImplementedError(f"BCa of this metric is offered for at most {JACKKNIFE_WEIGHTS} distinct weights")
+        cells = rows.groupBy("s").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("n"))
+        cum = running(with_slices(cells, "s"), "s", ["p", "n"], descending=descending, slices="__slice")
+        totals = cells.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+        steps = cum.crossJoin(F.broadcast(totals)).withColumn("lw", F.explode(F.array(*(F.lit(float(w)) for w in sorted(weights)))) if weights else F.lit(0.0))
+        return steps, rows.groupBy("s", "y", "w").agg(F.count("*").cast("double").alias("times"))
+
+    def _at_cells(self, cells: DataFrame, steps: DataFrame) -> DataFrame:
+        """The step of each cell for its own weight."""
+        renamed = steps.withColumnRenamed("s", "at")
+        return cells.join(renamed, (F.col("s") == F.col("at")) & (F.col("w") == F.col("lw")))
+
+    def _ap_jackknife(self, rows: DataFrame) -> DataFrame:
+        steps, cells = self._steps(rows, descending=True)
+        cp, cn, p, lw = F.col("cum_p"), F.col("cum_n"), F.col("p"), F.col("lw")
+        part = lambda x, up, down: F.coalesce(x * F.try_divide(up, down), F.lit(0.0))
+        # Steps from a row's score down change: without a negative (f_n), without a positive (f_p); the others stay (f).
+        steps = steps.withColumns({"f": part(p, cp, cp + cn), "f_n": part(p, cp, cp + cn - lw), "f_p": part(p, cp - lw, cp + cn - lw)})
+        sums = running(steps, "s", ["f", "f_n", "f_p"], "lw", descending=True, slices="__slice")
+        ends = sums.groupBy("lw").agg(*(F.sum(c).alias(f"all_{c}") for c in ("f_n", "f_p"))).withColumnRenamed("lw", "__lw")
+        sums = sums.join(F.broadcast(ends), F.col("lw") == F.col("__lw"))
+        x = self._at_cells(cells, sums)
+        before = F.col("cum_f") - F.col("f")
+        from_here = lambda c: F.col(f"all_{c}") - F.col(f"cum_{c}") + F.col(c)
+        own = part(F.col("w"), cp - lw, cp + cn - lw)  # the row's own gain at its step
+        value = F.when(F.col("y") == 1, sdiv(before + from_here("f_p") - own, F.col("all_p") - F.col("w"))).otherwise(sdiv(before + from_here("f_n"), F.col("all_p")))
+        return x.select(value.alias("value"), "times").filter("value IS NOT NULL")
+
+    def _ks_jackknife(self, rows: DataFrame) -> DataFrame:
+        steps, cells = self._steps(rows, descending=False)
+        cp, cn, ap, an, lw = (F.col(c) for c in ("cum_p", "cum_n", "all_p", "all_n", "lw"))
+        gap = lambda a, b, c, d: F.coalesce(F.abs(sdiv(a, b) - sdiv(c, d)), F.lit(0.0))
+        # The distance at a step below a row that is left out (b), and from it on (a), by the row's class.
+        steps = steps.withColumns({"bp": gap(cp, ap - lw, cn, an), "ap": gap(cp - lw, ap - lw, cn, an), "bn": gap(cp, ap, cn, an - lw), "an": gap(cp, ap, cn - lw, an - lw)})
+        low = running(steps, "s", ["bp", "bn"], "lw", slices="__slice", largest=True)
+        high = running(low, "s", ["ap", "an"], "lw", descending=True, slices="__slice", largest=True)
+        # Below a step: the maximum up to it without the step itself, which is the one of the step before; both classes at once.
+        x = self._at_cells(cells, high)
+        prior = running_before(high, ["cum_bp", "cum_bn"])
+        x = x.join(prior.select(F.col("s").alias("s0"), F.col("lw").alias("lw0"), "prior_cum_bp", "prior_cum_bn"), (F.col("s") == F.col("s0")) & (F.col("w") == F.col("lw0")))
+        one = lambda c: F.greatest(f"cum_a{c}", f"prior_cum_b{c}")
+        left = F.when(F.col("y") == 1, F.col("all_p") - F.col("w")).otherwise(F.col("all_n") - F.col("w"))
+        value = F.when(left > 0, F.when(F.col("y") == 1, one("p")).otherwise(one("n")))
+        return x.select(value.alias("value"), "times").filter("value IS NOT NULL")
+
+    def _air_jackknife(self, rows: DataFrame) -> DataFrame:
+        w = F.col("w")
+        parts = {"ya": w * F.col("y") * F.col("a"), "a_all": w * F.col("a"), "yb": w * F.col("y") * F.col("b"), "b_all": w * F.col("b")}
+        cells = rows.withColumns({f"x_{k}": e for k, e in parts.items()}).groupBy(*(f"x_{k}" for k in parts)).agg(F.count("*").cast("double").alias("times"))
+        t = cells.agg(*(F.sum(F.col(f"x_{k}") * F.col("times")).alias(f"t_{k}") for k in parts))
+        left = lambda k: F.col(f"t_{k}") - F.col(f"x_{k}")
+        value = sdiv(sdiv(left("ya"), left("a_all")), sdiv(left("yb"), left("b_all")))
+        return cells.crossJoin(F.broadcast(t)).select(value.alias("value"), "times")
 
     def _moments(self, rows: DataFrame, value: Column, out: Callable[[Column], Column] = lambda c: c) -> DataFrame:
         """Leave-one-out weighted means, in closed form."""
@@ -147,34 +215,60 @@ class Bootstrap:
         point = long(rows, None).withColumnRenamed("value", "point")
         jack = None
         if self.method == "BCa":
-            cells = rows.groupBy("y", "p", "w").agg(F.count("*").cast("double").alias("times")).withColumn("cell", F.xxhash64("y", "p", "w"))
-            left = cells.select(F.col("cell").alias("out"), F.col("times").alias("out_times"))
-            each = cells.crossJoin(F.broadcast(left)).withColumn("w", F.col("w") * (F.col("times") - (F.col("cell") == F.col("out")).cast("double")))
-            jack = join_groups(long(each, "out"), left, "out").select("metric", "value", F.col("out_times").alias("times")).filter("value IS NOT NULL")
+            cells = rows.groupBy("y", "p", "w").agg(F.count("*").cast("double").alias("times"))
+            is_ = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
+            mine = {k: F.when((F.col("y") == y) & (F.col("p") == p), F.col("w")).otherwise(0.0) for k, (y, p) in is_.items()}
+            totals = cells.agg(*(F.sum(e * F.col("times")).alias(f"all_{k}") for k, e in mine.items()))
+            left = cells.crossJoin(F.broadcast(totals)).select("times", *((F.col(f"all_{k}") - e).alias(k) for k, e in mine.items()))
+            jack = M.to_long(M.derive(left, beta).select("times", *M.CONFUSION), "times").filter("value IS NOT NULL")
         return self._interval(reps, point, "metric", jack)
 
-    def confusion_matrix_at_thresholds(self, df: DataFrame, key: str, y_true: str, y_score: str, thresholds: Sequence[float], metrics: Sequence[str] = M.CONFUSION, beta: float = 1.0, weight: str | None = None, strategy: str = "auto") -> DataFrame:
-        """(threshold, metric, lower, point, upper). BCa leaves each bin between thresholds out once, as all its rows are alike."""
+    def _swept(self, rows: DataFrame, key: str, thresholds: Sequence[float] | None, sweep: Callable[..., DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """Values of all replicates and of the rows themselves. For all scores, each replicate has every score, also those it did not draw."""
+        if thresholds is None:
+            rows = with_slices(rows, "s")
+        reps = self.replicates(rows, key).withColumn("w", F.coalesce("w", F.lit(0.0)) * F.col("k"))
+        if thresholds is None and self.sampling_method == "multinomial":
+            it = F.explode(F.sequence(F.lit(0), F.lit(self.iterations - 1))).alias("iter")
+            labels = [c for c in rows.columns if c not in (key, "s", "__slice", "w")]
+            every = rows.select("s", "__slice").distinct().select("s", "__slice", it).select("iter", "s", "__slice", *(F.lit(0.0).alias(c) for c in labels), F.lit(0.0).alias("w"))
+            reps = reps.select("iter", "s", "__slice", *labels, "w").unionByName(every)
+        return sweep(reps, "iter").drop("iter"), sweep(rows, None).withColumnRenamed("value", "point")
+
+    def confusion_matrix_at_thresholds(self, df: DataFrame, key: str, y_true: str, y_score: str, thresholds: Sequence[float] | None = None, metrics: Sequence[str] = M.CONFUSION, beta: float = 1.0, weight: str | None = None, strategy: str = "auto") -> DataFrame:
+        """(threshold, metric, lower, point, upper); all scores are thresholds if none are given.
+
+        BCa is offered for given thresholds, whose bins' rows are alike, so that each bin, label and weight is left out once.
+        """
         rows = coerce(df, key, weight, y=truth(y_true), s=number(y_score))
-        sweep = lambda d, by: M.confusion_matrix_at_thresholds(d, "y", "s", thresholds, metrics, strategy, beta, "w", by)
-        reps = sweep(self.replicates(rows, key).withColumn("w", F.coalesce("w", F.lit(0.0)) * F.col("k")), "iter").drop("iter")
-        point = sweep(rows, None).withColumnRenamed("value", "point")
-        jack = self._bins(rows, ("y",), thresholds, sweep, ["threshold", "metric"]) if self.method == "BCa" else None
+        sweep = lambda d, by: M.confusion_matrix_at_thresholds(d, "y", "s", thresholds, metrics, strategy, beta, "w", by, "__slice" if thresholds is None else M.SLICES)
+        reps, point = self._swept(rows, key, thresholds, sweep)
+        jack = None
+        if self.method == "BCa":
+            parts = {"tn": ("lt", 0), "fp": ("ge", 0), "fn": ("lt", 1), "tp": ("ge", 1)}
+            left = self._bins(rows, ("y",), thresholds, {k: (side, F.col("y") == y) for k, (side, y) in parts.items()})
+            jack = M.to_long(M.derive(left, beta).select("threshold", "times", *metrics), ["threshold", "times"], list(metrics)).filter("value IS NOT NULL")
         return self._interval(reps, point, ["threshold", "metric"], jack)
 
-    def _bins(self, rows: DataFrame, labels: Sequence[str], thresholds: Sequence[float], sweep: Callable[..., DataFrame], by: list[str]) -> DataFrame:
+    def _bins(self, rows: DataFrame, labels: Sequence[str], thresholds: Sequence[float] | None, parts: dict[str, tuple[str, Column]]) -> DataFrame:
+        """(threshold, times, parts): sums without one row of each bin, label and weight, for each threshold.
+
+        ``parts``: on which side of a threshold, and by which condition on labels, a row counts.
+        """
+        if thresholds is None:
+            raise NotImplementedError("BCa at all scores is not offered; give thresholds")
         cuts = sorted({float(t) for t in thresholds})
-        low = cuts[0] - 1.0
-        at = M.bin_index(rows, "s", cuts, "b").withColumn("s", F.get(F.array(F.lit(low), *(F.lit(c) for c in cuts)), F.col("b")))
-        cells = at.groupBy(*labels, "s", "w").agg(F.count("*").cast("double").alias("times")).withColumn("cell", F.xxhash64(*labels, "s", "w"))
-        left = cells.select(F.col("cell").alias("out"), F.col("times").alias("out_times"))
-        each = cells.crossJoin(F.broadcast(left)).withColumn("w", F.col("w") * (F.col("times") - (F.col("cell") == F.col("out")).cast("double")))
-        return join_groups(sweep(each, "out"), left, "out").select(*by, "value", F.col("out_times").alias("times")).filter("value IS NOT NULL")
+        cells = M.bin_index(rows, "s", cuts, "b").groupBy(*labels, "b", "w").agg(F.count("*").cast("double").alias("times"))
+        each = F.explode(F.array(*(F.struct(F.lit(i + 1).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(cuts)))).alias("t")
+        spread = cells.select("*", each).select(*cells.columns, "t.*")
+        mine = {k: F.when((F.col("b") >= F.col("i") if side == "ge" else F.col("b") < F.col("i")) & cond, F.col("w")).otherwise(0.0) for k, (side, cond) in parts.items()}
+        totals = spread.groupBy("i").agg(*(F.sum(e * F.col("times")).alias(f"all_{k}") for k, e in mine.items())).withColumnRenamed("i", "j")
+        return spread.join(F.broadcast(totals), F.col("i") == F.col("j")).select("threshold", "times", *((F.col(f"all_{k}") - e).alias(k) for k, e in mine.items()))
 
     def roc_auc(self, df: DataFrame, key: str, y_true: str, y_score: str, weight: str | None = None) -> DataFrame:
         """One row. BCa's leave-one-out values are in closed form: a row's own pairs are taken from the sum of pairs."""
         rows = coerce(df, key, weight, y=truth(y_true), s=number(y_score))
-        return self._metric(rows, key, lambda d, weight, by: M.roc_auc(d, "y", "s", weight, by, None if by else M.SLICES), "roc_auc", lambda: self._auc_jackknife(rows))
+        return self._metric(with_slices(rows, "s"), key, lambda d, weight, by: M.roc_auc(d, "y", "s", weight, by, "__slice"), "roc_auc", lambda: self._auc_jackknife(rows))
 
     def _auc_jackknife(self, rows: DataFrame) -> DataFrame:
         cells = rows.groupBy("s").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("n"))
@@ -188,13 +282,13 @@ class Bootstrap:
 
     def average_precision(self, df: DataFrame, key: str, y_true: str, y_score: str, weight: str | None = None) -> DataFrame:
         rows = coerce(df, key, weight, y=truth(y_true), s=number(y_score))
-        metric = lambda d, weight, by: M.average_precision(d, "y", "s", weight, by, None if by else M.SLICES)
-        return self._metric(rows, key, metric, "average_precision", lambda: self._by_cells(rows, ("y", "s"), metric, "average_precision"))
+        metric = lambda d, weight, by: M.average_precision(d, "y", "s", weight, by, "__slice")
+        return self._metric(with_slices(rows, "s"), key, metric, "average_precision", lambda: self._ap_jackknife(rows))
 
     def max_ks(self, df: DataFrame, key: str, y_true: str, y_score: str, weight: str | None = None) -> DataFrame:
         rows = coerce(df, key, weight, y=truth(y_true), s=number(y_score))
-        metric = lambda d, weight, by: M.max_ks(d, "y", "s", weight, by, None if by else M.SLICES)
-        return self._metric(rows, key, metric, "max_ks", lambda: self._by_cells(rows, ("y", "s"), metric, "max_ks"))
+        metric = lambda d, weight, by: M.max_ks(d, "y", "s", weight, by, "__slice")
+        return self._metric(with_slices(rows, "s"), key, metric, "max_ks", lambda: self._ks_jackknife(rows))
 
     def brier_loss(self, df: DataFrame, key: str, y_true: str, y_score: str, weight: str | None = None) -> DataFrame:
         d = truth(y_true) - number(y_score)
@@ -231,43 +325,52 @@ class Bootstrap:
     def adverse_impact_ratio(self, df: DataFrame, key: str, y_pred: str, protected: str, control: str, weight: str | None = None) -> DataFrame:
         rows = coerce(df, key, weight, y=truth(y_pred), a=truth(protected), b=truth(control))
         metric = lambda d, weight, by: M.adverse_impact_ratio(d, "y", "a", "b", weight, by)
-        return self._metric(rows, key, metric, "air", lambda: self._by_cells(rows, ("y", "a", "b"), metric, "air"))
-
-    def adverse_impact_ratio_at_thresholds(self, df: DataFrame, key: str, y_score: str, protected: str, control: str, thresholds: Sequence[float], weight: str | None = None, strategy: str = "auto") -> DataFrame:
-        """(threshold, lower, point, upper)."""
-        rows = coerce(df, key, weight, s=number(y_score), a=truth(protected), b=truth(control))
-        sweep = lambda d, by: M.adverse_impact_ratio_at_thresholds(d, "s", "a", "b", thresholds, "w", strategy, by).withColumnRenamed("air", "value")
-        reps = sweep(self.replicates(rows, key).withColumn("w", F.coalesce("w", F.lit(0.0)) * F.col("k")), "iter").drop("iter")
-        point = sweep(rows, None).withColumnRenamed("value", "point")
-        jack = self._bins(rows, ("a", "b"), thresholds, sweep, ["threshold"]) if self.method == "BCa" else None
+        return self._metric(rows, key, metric, "air", lambda: self._air_jackknife(rows))
+
+    def adverse_impact_ratio_at_thresholds(self, df: DataFrame, key: str, y_score: str, protected: str, control: str, thresholds: Sequence[float] | None = None, weight: str | None = None, strategy: str = "auto") -> DataFrame:
+        """(threshold, lower, point, upper); all scores are thresholds if none are given. BCa is offered for given thresholds."""
+        rows = coerce(df, key, weight, s=number(y_score), a=truth(protected), b_=truth(control))
+        sweep = lambda d, by: M.adverse_impact_ratio_at_thresholds(d, "s", "a", "b_", thresholds, "w", strategy, by, "__slice" if thresholds is None else M.SLICES).withColumnRenamed("air", "value")
+        reps, point = self._swept(rows, key, thresholds, sweep)
+        jack = None
+        if self.method == "BCa":
+            left = self._bins(rows, ("a", "b_"), thresholds, {f"{side}_{g}": (side, F.col(g) == 1) for side in ("lt", "ge") for g in ("a", "b_")})
+            rate = lambda g: sdiv(F.col(f"lt_{g}"), F.col(f"lt_{g}") + F.col(f"ge_{g}"))
+            jack = left.select("threshold", "times", sdiv(rate("a"), rate("b_")).alias("value")).filter("value IS NOT NULL")
         return self._interval(reps, point, "threshold", jack)
 
     def run(self, df: DataFrame, key: str, stat: Callable, as_expression: bool = False) -> DataFrame:
-        """Interval of any statistic. BCa is not offered here, as it has no closed form.
+        """Interval of any statistic.
 
         ``as_expression``: stat(weight) gives an aggregate Column over ``df`` that honours
         the weight column's name, and stays in the JVM. Otherwise stat takes a pandas frame
         of one replicate, with drawn rows repeated, and gives a float; a replicate then
-        has to fit in one task's memory.
+        has to fit in one task's memory. BCa evaluates the statistic once without each row, so it is offered for at most JACKKNIFE_ROWS rows.
         """
-        if self.method == "BCa":
-            raise NotImplementedError("run() offers standard, percentile and basic intervals")
         reps = self.replicates(df, key)
-        if as_expression:
-            values = reps.groupBy("iter").agg(stat("k").cast("double").alias("value"))
-            point = df.withColumn("k", F.lit(1.0)).agg(stat("k").cast("double").alias("point"))
-        else:
-            cols = df.columns
+        cols = df.columns
+
+        def one(pdf):  # noqa: ANN001, ANN202
+            import pandas as pd
+
+            drawn = pdf.loc[pdf.index.repeat(pdf["k"].astype(int)), cols].reset_index(drop=True)
+            return pd.DataFrame({"value": [float(stat(drawn))]})
 
-            def one(pdf):  # noqa: ANN001, ANN202
-                import pandas as pd
+        def evaluate(weighted: DataFrame) -> DataFrame:
+            if as_expression:
+                return weighted.groupBy("iter").agg(stat("k").cast("double").alias("value")).select("value")
+            return weighted.groupBy("iter").applyInPandas(one, "value double")
 
-                drawn = pdf.loc[pdf.index.repeat(pdf["k"].astype(int)), cols].reset_index(drop=True)
-                return pd.DataFrame({"value": [float(stat(drawn))]})
+        point = evaluate(df.withColumns({"k": F.lit(1.0), "iter": F.lit(0)})).withColumnRenamed("value", "point")
+        return self._interval(evaluate(reps).select("value"), point, None, self._without_each(df, key, evaluate) if self.method == "BCa" else None)
 
-            values = reps.groupBy("iter").applyInPandas(one, "value double")
-            point = df.withColumns({"k": F.lit(1.0), "iter": F.lit(0)}).groupBy("iter").applyInPandas(one, "value double").withColumnRenamed("value", "point")
-        return self._interval(values.select("value"), point, None, None)
+    def _without_each(self, df: DataFrame, key: str, evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        out = df.select(F.col(key).alias("iter")).limit(JACKKNIFE_ROWS + 1)
+        if (n := out.count()) > JACKKNIFE_ROWS:
+            raise NotImplementedError(f"BCa of any statistic leaves out each row in turn; at most {JACKKNIFE_ROWS} rows are allowed")
+        # Bounded: n * n rows.
+        pairs = df.crossJoin(F.broadcast(out)).withColumn("k", (F.col(key) != F.col("iter")).cast("double"))
+        return evaluate(pairs if n > 1 else pairs.filter(F.lit(False))).withColumn("times", F.lit(1.0)).filter("value IS NOT NULL AND NOT isnan(value)")
 
 
 __all__ = ["Bootstrap", "METHODS", "SAMPLERS", "acceleration", "basic_interval", "bca_interval", "percentile_interval", "standard_interval"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..core import number
 from ..functions.binning import RULES, bin_count
 
 
@@ -26,7 +27,7 @@ def psi(reference: DataFrame, current: DataFrame, column: str, current_column: s
     If both columns are numeric, bins are right-closed between ``bins``, or of equal width over
     the reference (an int, or a rule of bin_count). The lowest edge belongs to the first
     bin. Values outside fall in no bin but stay in the total. With ``include_nulls``
-    nulls are a bin of their own, else they are left out. Other columns take
+    nulls are a bin of their own, else they are left out; NaN counts as null. Other columns take
     each value as a bin. Both sides are counted in one aggregation.
     """
     kinds = [df.schema[c].dataType for df, c in ((reference, column), (current, current_column or column))]
@@ -35,22 +36,24 @@ def psi(reference: DataFrame, current: DataFrame, column: str, current_column: s
     other = current.select(F.col(current_column or column).alias("x"), F.lit(0).alias("r"), F.lit(1).alias("c"))
     if not numeric:
         tagged, other = (d.withColumn("x", F.col("x").cast("string")) for d in (tagged, other))
+    else:
+        tagged, other = (d.withColumn("x", number("x")) for d in (tagged, other))
     both = tagged.unionByName(other)
     if not include_nulls:
         both = both.filter("x IS NOT NULL")
     totals = both.agg(F.sum("r").alias("r_all"), F.sum("c").alias("c_all"))
     if not numeric:
         return _index(both.groupBy("x").agg(F.sum("r").alias("r"), F.sum("c").alias("c")), epsilon, totals)
-    x = F.col("x").cast("double")
+    x = F.col("x")
     if bins is not None:
         edges = sorted(float(b) for b in bins)
         e = F.array(*(F.lit(b) for b in edges))
-        number: Column = F.when((x >= edges[0]) & (x <= edges[-1]), F.greatest(F.lit(1), F.size(F.filter(e, lambda b: b < x))))
+        place: Column = F.when((x >= edges[0]) & (x <= edges[-1]), F.greatest(F.lit(1), F.size(F.filter(e, lambda b: b < x))))
         every = F.sequence(F.lit(1), F.lit(len(edges) - 1))
-        placed = both.withColumn("b", number)
+        placed = both.withColumn("b", place)
         possible = both.sparkSession.range(1).select(F.explode(every).alias("b"))
     else:
-        base = reference.agg(F.min(F.col(column).cast("double")).alias("lo"), F.max(F.col(column).cast("double")).alias("hi"))
+        base = reference.agg(F.min(number(column)).alias("lo"), F.max(number(column)).alias("hi"))
         if isinstance(bin_count_rule, int):
             base = base.withColumn("k", F.lit(bin_count_rule).cast("long"))
         elif bin_count_rule in RULES:

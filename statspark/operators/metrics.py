@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..core import By, coerce, groups, join_groups, number, sdiv, truth
 from ..plans.prefix import SLICES, at_thresholds, bin_index, running
+from ..plans.prefix import quantiles as exact_quantiles
 
 #: Fixed names, in the order of output.
 CONFUSION = (
@@ -23,22 +24,20 @@ FEW_THRESHOLDS = 10
 def derive(df: DataFrame, beta: float = 1.0) -> DataFrame:
     """Adds the 23 measures that follow from columns tn, fp, fn and tp; undefined ones are NULL."""
     c = F.col
-    p, n = c("tp") + c("fn"), c("fp") + c("tn")
-    df = df.withColumns({
+    p, n, b2 = c("tp") + c("fn"), c("fp") + c("tn"), beta * beta
+    # One select: later columns refer to earlier ones by name.
+    return df.select("*", *(e.alias(k) for k, e in {
         "tpr": sdiv(c("tp"), p), "fpr": sdiv(c("fp"), n), "prevalence": sdiv(p, p + n), "precision": sdiv(c("tp"), c("tp") + c("fp")),
         "false_omission_rate": sdiv(c("fn"), c("fn") + c("tn")), "acc": sdiv(c("tp") + c("tn"), p + n),
         "threat_score": sdiv(c("tp"), c("tp") + c("fn") + c("fp")), "ppr": sdiv(c("tp") + c("fp"), p + n), "pnr": sdiv(c("tn") + c("fn"), p + n),
-    })
-    df = df.withColumns({"fnr": 1 - c("tpr"), "tnr": 1 - c("fpr"), "fdr": 1 - c("precision"), "npv": 1 - c("false_omission_rate")})
-    b2 = beta * beta
-    df = df.withColumns({
+        "fnr": 1 - c("tpr"), "tnr": 1 - c("fpr"), "fdr": 1 - c("precision"), "npv": 1 - c("false_omission_rate"),
         "prevalence_threshold": sdiv(F.sqrt(c("tpr") * c("fpr")) - c("fpr"), c("tpr") - c("fpr")),
         "informedness": c("tpr") + c("tnr") - 1, "plr": sdiv(c("tpr"), c("fpr")), "nlr": sdiv(c("fnr"), c("tnr")),
         "balanced_accuracy": (c("tpr") + c("tnr")) / 2, "fbeta": sdiv((1 + b2) * c("precision") * c("tpr"), b2 * c("precision") + c("tpr")),
         "folkes_mallows_index": F.sqrt(c("precision") * c("tpr")), "markedness": c("precision") - c("false_omission_rate"),
         "mcc": F.sqrt(c("tpr") * c("tnr") * c("precision") * c("npv")) - F.sqrt(c("fnr") * c("fpr") * c("false_omission_rate") * c("fdr")),
-    })
-    return df.withColumn("dor", sdiv(c("plr"), c("nlr")))
+        "dor": sdiv(c("plr"), c("nlr")),
+    }.items()))
 
 
 def confusion_matrix(df: DataFrame, y_true: str, y_pred: str, beta: float = 1.0, weight: str | None = None, by: By = None) -> DataFrame:
@@ -54,31 +53,32 @@ def to_long(df: DataFrame, by: By = None, metrics: Sequence[str] = CONFUSION) ->
     return df.unpivot(groups(by), list(metrics), "metric", "value")
 
 
-def _cells(df: DataFrame, y_true: str, y_score: str, weight: str | None, by: By) -> DataFrame:
-    """(by, s, p, n): weights of positives and negatives for each distinct score, so that ties are one step."""
-    rows = coerce(df, by, weight, y=truth(y_true), s=number(y_score))
-    return rows.groupBy(*groups(by), "s").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("n"))
+def _cells(df: DataFrame, y_true: str, y_score: str, weight: str | None, by: By, slices: int | str | None = None) -> DataFrame:
+    """(by, s, p, n): weights of positives and negatives for each distinct score, so that ties are one step. A column of slices is kept."""
+    keys = _with_slice(by, slices)
+    rows = coerce(df, keys, weight, y=truth(y_true), s=number(y_score))
+    return rows.groupBy(*keys, "s").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("n"))
 
 
-def roc_auc(df: DataFrame, y_true: str, y_score: str, weight: str | None = None, by: By = None, slices: int | None = SLICES) -> DataFrame:
+def roc_auc(df: DataFrame, y_true: str, y_score: str, weight: str | None = None, by: By = None, slices: int | str | None = SLICES) -> DataFrame:
     """(by, roc_auc): the share of positive-negative pairs in the right order, ties counting half. NULL with one class only."""
-    steps = running(_cells(df, y_true, y_score, weight, by), "s", ["n"], by, slices=slices)
+    steps = running(_cells(df, y_true, y_score, weight, by, slices), "s", ["n"], by, slices=slices)
     won = F.sum(F.col("p") * (F.col("cum_n") - F.col("n") / 2))
     return steps.groupBy(*groups(by)).agg(sdiv(won, F.sum("p") * F.sum("n")).alias("roc_auc"))
 
 
-def max_ks(df: DataFrame, y_true: str, y_score: str, weight: str | None = None, by: By = None, slices: int | None = SLICES) -> DataFrame:
+def max_ks(df: DataFrame, y_true: str, y_score: str, weight: str | None = None, by: By = None, slices: int | str | None = SLICES) -> DataFrame:
     """(by, max_ks): largest distance of the score distributions of both classes. NULL with one class only."""
-    cells = _cells(df, y_true, y_score, weight, by)
+    cells = _cells(df, y_true, y_score, weight, by, slices)
     totals = cells.groupBy(*groups(by)).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     steps = join_groups(running(cells, "s", ["p", "n"], by, slices=slices), totals, by)
     gap = F.abs(sdiv(F.col("cum_p"), F.col("all_p")) - sdiv(F.col("cum_n"), F.col("all_n")))
     return steps.groupBy(*groups(by)).agg(F.max(gap).alias("max_ks"))
 
 
-def average_precision(df: DataFrame, y_true: str, y_score: str, weight: str | None = None, by: By = None, slices: int | None = SLICES) -> DataFrame:
+def average_precision(df: DataFrame, y_true: str, y_score: str, weight: str | None = None, by: By = None, slices: int | str | None = SLICES) -> DataFrame:
     """(by, average_precision): precision at each distinct score, weighted by the recall gained there."""
-    steps = running(_cells(df, y_true, y_score, weight, by), "s", ["p", "n"], by, descending=True, slices=slices)
+    steps = running(_cells(df, y_true, y_score, weight, by, slices), "s", ["p", "n"], by, descending=True, slices=slices)
     gained = F.sum(F.col("p") * F.coalesce(sdiv(F.col("cum_p"), F.col("cum_p") + F.col("cum_n")), F.lit(0.0)))
     return steps.groupBy(*groups(by)).agg(sdiv(gained, F.sum("p")).alias("average_precision"))
 
@@ -141,7 +141,11 @@ def _strategy(thresholds: Sequence[float] | None, strategy: str) -> str:
     return ("loop" if len(thresholds) < FEW_THRESHOLDS else "cum_sum") if strategy == "auto" else strategy
 
 
-def _sweep(rows: DataFrame, sums: dict[str, Column], thresholds: Sequence[float] | None, strategy: str, by: By, slices: int | None) -> DataFrame:
+def _with_slice(by: By, slices: int | str | None) -> list[str]:
+    return [*groups(by), *([slices] if isinstance(slices, str) else [])]
+
+
+def _sweep(rows: DataFrame, sums: dict[str, Column], thresholds: Sequence[float] | None, strategy: str, by: By, slices: int | str | None) -> DataFrame:
     """(by, threshold, ge_<c>, lt_<c>) for given thresholds or for all scores ``s``.
 
     Few thresholds: one conditional sum for each in one aggregation without a
@@ -150,7 +154,7 @@ def _sweep(rows: DataFrame, sums: dict[str, Column], thresholds: Sequence[float]
     keys = groups(by)
     kind = _strategy(thresholds, strategy)
     if thresholds is None:
-        cells = rows.groupBy(*keys, "s").agg(*(F.sum(e).alias(c) for c, e in sums.items()))
+        cells = rows.groupBy(*_with_slice(by, slices), "s").agg(*(F.sum(e).alias(c) for c, e in sums.items()))
         up = running(cells, "s", list(sums), by, descending=True, slices=slices)
         totals = cells.groupBy(*keys).agg(*(F.sum(c).alias(f"all_{c}") for c in sums))
         joined = join_groups(up, totals, by)
@@ -168,14 +172,14 @@ def _sweep(rows: DataFrame, sums: dict[str, Column], thresholds: Sequence[float]
 
 def confusion_matrix_at_thresholds(
     df: DataFrame, y_true: str, y_score: str, thresholds: Sequence[float] | None = None, metrics: Sequence[str] = CONFUSION, strategy: str = "auto",
-    beta: float = 1.0, weight: str | None = None, by: By = None, slices: int | None = SLICES, wide: bool = False,
+    beta: float = 1.0, weight: str | None = None, by: By = None, slices: int | str | None = SLICES, wide: bool = False,
 ) -> DataFrame:
     """(by, threshold, metric, value): the measures with score >= threshold as the prediction.
 
     Thresholds are distinct; None takes all scores. The definition is the same under every strategy, also above
     the largest score. ``wide`` keeps a column for each metric.
     """
-    rows = coerce(df, by, weight, y=truth(y_true), s=number(y_score))
+    rows = coerce(df, _with_slice(by, slices), weight, y=truth(y_true), s=number(y_score))
     swept = _sweep(rows, {"p": F.col("w") * F.col("y"), "n": F.col("w") * (1 - F.col("y"))}, thresholds, strategy, by, slices)
     keys = [*groups(by), "threshold"]
     base = swept.select(*keys, F.col("lt_n").alias("tn"), F.col("ge_n").alias("fp"), F.col("lt_p").alias("fn"), F.col("ge_p").alias("tp"))
@@ -185,16 +189,16 @@ def confusion_matrix_at_thresholds(
     return out if wide else to_long(out, keys, metrics)
 
 
-def predicted_positive_ratio_at_thresholds(df: DataFrame, y_score: str, thresholds: Sequence[float] | None = None, weight: str | None = None, strategy: str = "auto", by: By = None, slices: int | None = SLICES) -> DataFrame:
+def predicted_positive_ratio_at_thresholds(df: DataFrame, y_score: str, thresholds: Sequence[float] | None = None, weight: str | None = None, strategy: str = "auto", by: By = None, slices: int | str | None = SLICES) -> DataFrame:
     """(by, threshold, ppr): weighted share of rows with score >= threshold."""
-    rows = coerce(df, by, weight, s=number(y_score))
+    rows = coerce(df, _with_slice(by, slices), weight, s=number(y_score))
     swept = _sweep(rows, {"w": F.col("w")}, thresholds, strategy, by, slices)
     return swept.select(*groups(by), "threshold", sdiv(F.col("ge_w"), F.col("ge_w") + F.col("lt_w")).alias("ppr"))
 
 
-def adverse_impact_ratio_at_thresholds(df: DataFrame, y_score: str, protected: str, control: str, thresholds: Sequence[float] | None = None, weight: str | None = None, strategy: str = "auto", by: By = None, slices: int | None = SLICES) -> DataFrame:
+def adverse_impact_ratio_at_thresholds(df: DataFrame, y_score: str, protected: str, control: str, thresholds: Sequence[float] | None = None, weight: str | None = None, strategy: str = "auto", by: By = None, slices: int | str | None = SLICES) -> DataFrame:
     """(by, threshold, air): adverse impact ratio where a row is approved if its score is below the threshold."""
-    rows = coerce(df, by, weight, s=number(y_score), a=truth(protected), b=truth(control))
+    rows = coerce(df, _with_slice(by, slices), weight, s=number(y_score), a=truth(protected), b=truth(control))
     swept = _sweep(rows, {g: F.col("w") * F.col(g) for g in ("a", "b")}, thresholds, strategy, by, slices)
     rate = lambda g: sdiv(F.col(f"lt_{g}"), F.col(f"lt_{g}") + F.col(f"ge_{g}"))
     return swept.select(*groups(by), "threshold", sdiv(rate("a"), rate("b")).alias("air"))
@@ -209,7 +213,7 @@ def capture_rate_at_quantiles(df: DataFrame, y_true: str, y_score: str, quantile
     """
     keys = groups(by)
     rows = coerce(df, by, None, y=truth(y_true), s=number(y_score))
-    edges = rows.groupBy(*keys).agg(F.array_distinct(F.percentile("s", F.array(*(F.lit(i / quantiles) for i in range(1, quantiles))))).alias("e"))
+    edges = exact_quantiles(rows, "s", [i / quantiles for i in range(1, quantiles)], "e", by).withColumn("e", F.array_distinct("e"))
     binned = join_groups(rows, edges, by).withColumn("b", F.size(F.filter("e", lambda e: e < F.col("s"))))
     upper = F.get("e", F.col("b"))
     out = binned.groupBy(*keys, "b", upper.alias("upper")).agg(F.sum("y").alias("n_pos"), F.count("*").alias("n"), F.avg("y").alias("capture_rate"))

@@ -10,13 +10,15 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from ..core import columns_of, sdiv
-from ..sources.io import load_params, save_params
+from ..core import columns_of, number, sdiv
+from ..plans.prefix import quantiles
+from ..sources.io import load_params, load_table, save_params, save_table
 
 
 class _Scaler:
-    """A linear map of each column: x * scale + shift, with scale and shift from one aggregation."""
+    """A linear map of each column: x * scale + shift, with scale and shift from one aggregation. Nulls and NaN take no part in fitting and stay as they are."""
 
     def __init__(self) -> None:
         self.columns: list[str] = []
@@ -91,7 +93,7 @@ class MinMaxScaler(_Scaler):
         return {"feature_range": list(self.feature_range)}
 
     def _stats(self, c: str) -> dict[str, Column]:
-        x = F.col(c).cast("double")
+        x = number(c)
         return {"lo": F.min(x), "hi": F.max(x)}
 
     def _map(self, s: dict[str, Column]) -> tuple[Column, Column]:
@@ -111,7 +113,7 @@ class StandardScaler(_Scaler):
         return {"ddof": self.ddof}
 
     def _stats(self, c: str) -> dict[str, Column]:
-        x = F.col(c).cast("double")
+        x = number(c)
         return {"mean": F.avg(x), "var": F.var_pop(x), "n": F.count(x)}
 
     def _map(self, s: dict[str, Column]) -> tuple[Column, Column]:
@@ -131,8 +133,20 @@ class RobustScaler(_Scaler):
         return {"quantile_range": list(self.quantile_range), "exact": self.exact}
 
     def _stats(self, c: str) -> dict[str, Column]:
-        x, at = F.col(c).cast("double"), F.array(*(F.lit(p) for p in (self.quantile_range[0], 0.5, self.quantile_range[1])))
-        return {"q": F.percentile(x, at) if self.exact else F.percentile_approx(x, at, F.lit(10_000))}
+        return {"q": F.percentile_approx(number(c), F.array(*(F.lit(p) for p in self._levels())), F.lit(10_000))}
+
+    def _levels(self) -> list[float]:
+        return [self.quantile_range[0], 0.5, self.quantile_range[1]]
+
+    def _fitted(self, df: DataFrame, columns: list[str]) -> DataFrame:
+        if not self.exact:
+            return super()._fitted(df, columns)
+        # All columns in one pass: (column, value) rows, and their quantiles by prefix sums.
+        each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), number(c).alias("x")) for i, c in enumerate(columns)))).alias("r")
+        found = quantiles(df.select(each).select("r.*").dropna(), "x", self._levels(), "q", "i")
+        one = found.agg(*(F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q_{i}") for i in range(len(columns))))
+        maps = [self._map({"q": F.col(f"q_{i}")}) for i in range(len(columns))]
+        return one.select(*(e.alias(f"{n}_{i}") for i, m in enumerate(maps) for n, e in zip(("scale", "shift"), m, strict=True)))
 
     def _map(self, s: dict[str, Column]) -> tuple[Column, Column]:
         scale = sdiv(F.lit(1.0), F.get(s["q"], F.lit(2)) - F.get(s["q"], F.lit(0)))
@@ -146,14 +160,15 @@ class OneHotEncoder:
         #: More categories raise ValueError: each becomes a column.
         self.max_categories = max_categories
         self.categories_: dict[str, list] = {}
+        self.types_: dict[str, DataType] = {}
 
     def fit(self, df: DataFrame, columns: str | Iterable[str] | None = None) -> OneHotEncoder:
-        self.categories_ = {}
+        self.categories_, self.types_ = {}, {}
         for c in columns_of(df, columns):
             found = [r[0] for r in df.select(c).dropna().distinct().limit(self.max_categories + 1).collect()]
             if len(found) > self.max_categories:
                 raise ValueError(f"{c} has over {self.max_categories} categories")
-            self.categories_[c] = sorted(found)
+            self.categories_[c], self.types_[c] = sorted(found), df.schema[c].dataType
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -163,11 +178,15 @@ class OneHotEncoder:
         return self.fit(df, columns).transform(df)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        save_params(spark, path, {"kind": "OneHotEncoder", "max_categories": self.max_categories, "categories": self.categories_})
+        """Writes the options as JSON and each column's categories as a table, so that dates, decimals and all other types come back as they are."""
+        save_params(spark, path, {"kind": "OneHotEncoder", "max_categories": self.max_categories, "columns": list(self.categories_)})
+        for i, c in enumerate(self.categories_):
+            save_table(spark, f"{path}/categories-{i}", self.types_[c], self.categories_[c])
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> OneHotEncoder:
         p, _ = load_params(spark, path)
         out = cls(p["max_categories"])
-        out.categories_ = p["categories"]
+        for i, c in enumerate(p["columns"]):
+            out.types_[c], out.categories_[c] = load_table(spark, f"{path}/categories-{i}")
         return out

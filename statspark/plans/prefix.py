@@ -9,49 +9,92 @@ from pyspark.sql import functions as F
 
 from ..core import By, groups, join_groups
 
-#: Slices of a score axis. A slice's totals are the only thing that is summed in one place.
-SLICES = 64
+#: Slices of a score axis, each ordered in a task of its own. A slice's totals are the only thing that is summed in one place.
+SLICES = 1024
 
 
-def running(cells: DataFrame, order: str, sums: Sequence[str], by: By = None, descending: bool = False, slices: int | None = SLICES) -> DataFrame:
-    """Adds ``cum_<c>`` for each column of ``sums``: the inclusive prefix sum along ``order``.
+def _join_slices(placed: DataFrame, starts: DataFrame, keys: list[str], slice_: str) -> DataFrame:
+    """Joins totals of slices (at most SLICES rows for each group) to the rows of the slices."""
+    on = F.col(slice_) == F.col("__at")
+    for i, k in enumerate(keys):
+        starts = starts.withColumnRenamed(k, f"__h{i}")
+        on = on & F.col(k).eqNullSafe(F.col(f"__h{i}"))
+    return placed.join(starts if keys else F.broadcast(starts), on)
+
+
+def slice_edges(cells: DataFrame, order: str, by: By = None, slices: int = SLICES) -> DataFrame:
+    """(by, __edges): approximate percentiles that cut the axis into ``slices``."""
+    cuts = F.array(*(F.lit((i + 1) / slices) for i in range(slices - 1)))
+    return cells.groupBy(*groups(by)).agg(F.percentile_approx(order, cuts, F.lit(min(10 * slices, 10_000))).alias("__edges"))
+
+
+def with_slices(rows: DataFrame, order: str, by: By = None, slices: int = SLICES, out: str = "__slice") -> DataFrame:
+    """Adds ``out``, the number of the axis slice that holds ``order``; equal values share one."""
+    placed = join_groups(rows, slice_edges(rows.select(*groups(by), order), order, by, slices), by)
+    return search(placed, F.col("__edges"), slices - 1, order, out, below=True).drop("__edges")
+
+
+def running(cells: DataFrame, order: str, sums: Sequence[str], by: By = None, descending: bool = False, slices: int | str | None = SLICES, largest: bool = False) -> DataFrame:
+    """Adds ``cum_<c>`` for each column of ``sums``: the inclusive prefix sum along ``order``, or the prefix maximum if ``largest``.
 
     ``cells`` has one row for each value of ``order`` in a group. The axis is cut at
     approximate percentiles; rows are summed within a slice, and each slice starts
-    from the totals of those before. With ``slices=None`` each group is one
-    partition, which suits many small groups.
+    from the totals of those before. ``slices`` may name a column of ``cells`` that rises with ``order`` and is taken instead. With
+    ``slices=None`` each group is one partition, which suits many small groups.
     """
     keys = groups(by)
     arrow = (lambda c: F.col(c).desc()) if descending else F.col
+    agg = F.max if largest else F.sum
     if slices is None:
         w = Window.partitionBy(*keys).orderBy(arrow(order)).rowsBetween(Window.unboundedPreceding, 0)
-        return cells.withColumns({f"cum_{c}": F.sum(c).over(w) for c in sums})
-    cuts = F.array(*(F.lit((i + 1) / slices) for i in range(slices - 1)))
-    edges = cells.groupBy(*keys).agg(F.percentile_approx(order, cuts, F.lit(1000)).alias("__edges"))
-    placed = join_groups(cells, edges, by).withColumn("__slice", F.size(F.filter("__edges", lambda e: e < F.col(order)))).drop("__edges")
-    totals = placed.groupBy(*keys, "__slice").agg(*(F.sum(c).alias(f"__t_{c}") for c in sums))
-    before = Window.partitionBy(*keys).orderBy(arrow("__slice")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, F.col("__slice").alias("__at"), *(F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0.0)).alias(f"__s_{c}") for c in sums))
-    on = F.col("__slice") == F.col("__at")
-    renamed = starts
-    for i, k in enumerate(keys):
-        renamed = renamed.withColumnRenamed(k, f"__h{i}")
-        on = on & F.col(k).eqNullSafe(F.col(f"__h{i}"))
-    inner = Window.partitionBy(*keys, "__slice").orderBy(arrow(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.withColumns({f"__c_{c}": F.sum(c).over(inner) for c in sums}).join(F.broadcast(renamed) if not keys else renamed, on)
-    return out.withColumns({f"cum_{c}": F.col(f"__c_{c}") + F.col(f"__s_{c}") for c in sums}).select(*cells.columns, *(f"cum_{c}" for c in sums))
+        return cells.withColumns({f"cum_{c}": agg(c).over(w) for c in sums})
+    at = slices if isinstance(slices, str) else "__axis"
+    placed = cells if isinstance(slices, str) else with_slices(cells, order, by, slices, at)
+    totals = placed.groupBy(*keys, at).agg(*(agg(c).alias(f"__t_{c}") for c in sums))
+    before = Window.partitionBy(*keys).orderBy(arrow(at)).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, F.col(at).alias("__at"), *(agg(f"__t_{c}").over(before).alias(f"__s_{c}") for c in sums))
+    inner = Window.partitionBy(*keys, at).orderBy(arrow(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = _join_slices(placed.withColumns({f"__c_{c}": agg(c).over(inner) for c in sums}), starts, keys, at)
+    joined = (lambda c: F.greatest(f"__c_{c}", f"__s_{c}")) if largest else (lambda c: F.col(f"__c_{c}") + F.coalesce(f"__s_{c}", F.lit(0.0)))
+    return out.withColumns({f"cum_{c}": joined(c) for c in sums}).select(*cells.columns, *(f"cum_{c}" for c in sums))
+
+
+def search(df: DataFrame, edges: Column, n: int, value: str, out: str, below: bool = False) -> DataFrame:
+    """Adds the number of the ``n`` sorted ``edges`` that are at most ``value`` (``below``: less), by a binary search in JVM code.
+
+    One select with a step for each power of two; later steps refer to earlier ones.
+    """
+    steps = [1 << b for b in range(n.bit_length() - 1, -1, -1)] if n else []
+    names = [f"__p{i}" for i in range(len(steps) + 1)]
+    columns = [F.lit(0).alias(names[0])]
+    for i, step in enumerate(steps):
+        probe = F.get(edges, F.col(names[i]) + (step - 1))
+        up = probe < F.col(value) if below else probe <= F.col(value)
+        columns.append(F.when(up, F.col(names[i]) + step).otherwise(F.col(names[i])).alias(names[i + 1]))
+    return df.select("*", *columns).withColumnRenamed(names[-1], out).drop(*names[:-1])
 
 
 def bin_index(df: DataFrame, value: str, cuts: Sequence[float], out: str) -> DataFrame:
-    """Adds the number of sorted ``cuts`` that are at most ``value``, by a binary search in JVM code."""
-    edges = F.array(*(F.lit(float(c)) for c in cuts))
-    df = df.withColumn(out, F.lit(0))
-    step = 1 << (len(cuts).bit_length() - 1) if cuts else 0
-    while step:
-        probe = F.get(edges, F.col(out) + (step - 1))
-        df = df.withColumn(out, F.when(probe <= F.col(value), F.col(out) + step).otherwise(F.col(out)))
-        step >>= 1
-    return df
+    """Adds the number of sorted ``cuts`` that are at most ``value``."""
+    return search(df, F.array(*(F.lit(float(c)) for c in cuts)), len(cuts), value, out)
+
+
+def quantiles(df: DataFrame, value: str, levels: Sequence[float], out: str, by: By = None) -> DataFrame:
+    """(by, out): array of exact linear quantiles of a double column without nulls.
+
+    Equal values are counted first and prefix sums give their ranks, so no task holds all values.
+    """
+    keys = groups(by)
+    cells = df.groupBy(*keys, F.col(value).alias("__x")).agg(F.count("*").cast("double").alias("__n"))
+    totals = cells.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    ranked = join_groups(running(cells, "__x", ["__n"], by), totals, by)
+    place = [F.lit(float(p)) * (F.col("__all") - 1) for p in levels]
+    picks = []
+    for i, at in enumerate(place):
+        picks += [F.min(F.when(F.col("cum___n") > F.floor(at), F.col("__x"))).alias(f"__lo{i}"), F.min(F.when(F.col("cum___n") > F.ceil(at), F.col("__x"))).alias(f"__hi{i}")]
+    found = ranked.groupBy(*keys).agg(F.first("__all").alias("__all"), *picks)
+    each = (F.when(F.col(f"__lo{i}") == F.col(f"__hi{i}"), F.col(f"__lo{i}")).otherwise(F.col(f"__lo{i}") + (at - F.floor(at)) * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))) for i, at in enumerate(place))
+    return found.select(*keys, F.array(*each).alias(out))
 
 
 def at_thresholds(df: DataFrame, value: str, sums: dict[str, Column], thresholds: Sequence[float], by: By = None) -> DataFrame:

@@ -30,23 +30,23 @@ SEED = 7
 ITERATIONS = 50
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to DIGITS digits, and minus zero to zero."""
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Doubles to so many digits, and minus zero to zero."""
 
     def one(name: str) -> Column:
-        r = F.round(F.col(f"`{name}`"), DIGITS)
+        r = F.round(F.col(f"`{name}`"), digits)
         return F.when(r == 0, F.lit(0.0)).otherwise(r).alias(name)
 
     return df.select(*(one(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields))
 
 
-def register(name: str, build: Query, oracle: str | None = None, columns: str | None = None) -> None:
+def register(name: str, build: Query, oracle: str | None = None, columns: str | None = None, digits: int = DIGITS) -> None:
     """``columns``: the oracle's double columns, which are rounded too."""
-    QUERIES[name] = lambda spark, sf_dir: rounded(build(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: rounded(build(spark, sf_dir), digits)
     if oracle is not None:
         if columns:
             names = columns.split()
-            oracle = f"SELECT * EXCLUDE ({', '.join(names)}), {', '.join(f'CASE WHEN round({c}::DOUBLE, {DIGITS}) = 0 THEN 0.0::DOUBLE ELSE round({c}::DOUBLE, {DIGITS}) END AS {c}' for c in names)} FROM ({oracle})"
+            oracle = f"SELECT * EXCLUDE ({', '.join(names)}), {', '.join(f'CASE WHEN round({c}::DOUBLE, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({c}::DOUBLE, {digits}) END AS {c}' for c in names)} FROM ({oracle})"
         ORACLES[name] = oracle
 
 
@@ -206,7 +206,10 @@ register("psi_numeric", lambda s, d: drift.psi(*halves(s, d, F.col("l_extendedpr
 register("psi_nulls", lambda s, d: drift.psi(*halves(s, d, _null_price()), "x", bin_count_rule=10), psi_sql(_edges(10), _null_price_sql, possible="range(0, 11)"), "psi")
 register("psi_bins", lambda s, d: drift.psi(*halves(s, d, F.col("l_quantity")), "x", bins=[0, 10, 20, 30, 40], include_nulls=False), psi_sql("CASE WHEN x >= 0 AND x <= 40 THEN greatest(1, ceil(x / 10)) END", "l_quantity", possible="range(1, 5)"), "psi")
 register("psi_categorical", lambda s, d: drift.psi(*halves(s, d, F.col("l_returnflag")), "x"), psi_sql("x", "l_returnflag"), "psi")
-register("psi_fd", lambda s, d: drift.psi(*halves(s, d, F.col("l_extendedprice")), "x"), None)
+register("psi_fd", lambda s, d: drift.psi(*halves(s, d, F.col("l_extendedprice")), "x"), f"""WITH D AS (SELECT l_extendedprice AS x, (l_linestatus = 'O')::INT AS r, (l_linestatus <> 'O')::INT AS c FROM lineitem),
+  R AS (SELECT min(x) AS lo, max(x) AS hi, ceil((max(x) - min(x)) / (2 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / {_cube}))::BIGINT AS k FROM D WHERE r = 1),
+  P AS (SELECT {_edges('k')} AS b, r, c FROM D, R UNION ALL SELECT unnest(range(0, k + 1)) AS b, 0, 0 FROM R), H AS (SELECT b, sum(r) AS r, sum(c) AS c FROM P WHERE b IS NOT NULL GROUP BY b), A AS (SELECT sum(r) AS ra, sum(c) AS ca FROM D),
+  S AS (SELECT CASE WHEN r = 0 THEN 0.0001::DOUBLE ELSE r::DOUBLE / ra END AS r, CASE WHEN c = 0 THEN 0.0001::DOUBLE ELSE c::DOUBLE / ca END AS c FROM H, A) SELECT sum((c - r) * ln(c / r)) AS psi FROM S""", "psi")
 
 
 # Correlation
@@ -359,7 +362,7 @@ _reps_cm = lambda rel: "SELECT metric, value FROM (" + long_sql(derive_sql(cells
 _point_cm = f"SELECT metric, value AS point FROM ({long_sql(derive_sql(cells_sql()), M.CONFUSION)})"
 for _sampler, _cte, _rel in (("poisson", RP, "RP"), ("multinomial", RM, "RM")):
     _b = bootstrap.Bootstrap(ITERATIONS, method="basic", sampling_method=_sampler, seed=SEED)
-    register(f"boot_cm_{_sampler}", lambda s, d, b=_b: b.confusion_matrix(base(s, d), "id", "y", "pred"), f"WITH {_cte} " + interval_sql("basic", _reps_cm(_rel), _point_cm, "metric"), "lower point upper")
+    register(f"boot_cm_{_sampler}", lambda s, d, b=_b: b.confusion_matrix(base(s, d), "id", "y", "pred"), f"WITH {_cte} " + interval_sql("basic", _reps_cm(_rel), _point_cm, "metric"), "lower point upper", 9 if _sampler == "multinomial" else DIGITS)  # at 6 digits, multiples of 1/10,000 interpolate to exact halves
 _b = bootstrap.Bootstrap(ITERATIONS, sampling_method="poisson", seed=SEED)
 _three_metrics = ["tpr", "precision", "mcc"]
 _inner = lambda w, rel, keys: derive_sql(cells_sql(w=w, relation=f"(SELECT {'it, ' if 'it' in keys else ''}threshold, y, (s >= threshold)::INT AS pred{', k' if w == 'k' else ''} FROM {rel}, T)", keys=keys), keys)
@@ -373,21 +376,74 @@ register("boot_air_at_thresholds", lambda s, d: _b.adverse_impact_ratio_at_thres
 register("boot_run_expression", lambda s, d: _b.run(base(s, d), "id", lambda k: F.try_divide(F.sum(F.col("s") * F.col(k)), F.sum(k)), as_expression=True), f"WITH {RP} " + interval_sql("percentile", "SELECT sum(k * s) / sum(k) AS value FROM RP GROUP BY it", "SELECT avg(s) AS point FROM B"), "lower point upper")
 
 
-def bca_sql(reps: str, point: str, jack: str, alpha: float = 0.025) -> str:
-    at = lambda z: cdf_sql(f"(z0 + (z0 + ({ppf_sql(f'{z}::DOUBLE')})) / (1 - a * (z0 + ({ppf_sql(f'{z}::DOUBLE')}))))")
+_zero = lambda it: f"CASE WHEN round({it}, 12) = 0 THEN 0 ELSE round({it}, 12) END"
+_all_steps = lambda rel, it, grid: f"""SELECT {it} s AS threshold, {_zero('n_all - cn')} AS tn, cn AS fp, {_zero('p_all - cp')} AS fn, cp AS tp FROM (SELECT {it} s, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER g AS p_all, sum(n) OVER g AS n_all
+  FROM (SELECT {it} s, sum(k * y) AS p, sum(k * (1 - y)) AS n FROM ({rel}) GROUP BY {it} s) WINDOW w AS ({'PARTITION BY it' if it else ''} ORDER BY s DESC), g AS ({'PARTITION BY it' if it else ''}))"""
+_some = lambda rel, it: long_sql(f"SELECT {it} threshold, tpr, precision, mcc FROM ({derive_sql(_all_steps(rel, it, ''), f'{it} threshold')})", _three_metrics)
+for _sampler, _cte, _rel in (("poisson", RP, "SELECT it, s, y, k FROM RP"), ("multinomial", RM, "SELECT it, s, y, k FROM RM UNION ALL SELECT it, s, 0.0::DOUBLE AS y, 0.0::DOUBLE AS k FROM (SELECT DISTINCT s FROM B), I")):
+    _a = bootstrap.Bootstrap(ITERATIONS, sampling_method=_sampler, seed=SEED)
+    register(
+        f"boot_cm_at_all_scores_{_sampler}", lambda s, d, b=_a: b.confusion_matrix_at_thresholds(base(s, d), "id", "y", "s", None, _three_metrics),
+        f"WITH {_cte}, V AS ({_some(_rel, 'it,')}), W AS ({_some('SELECT s, y, 1.0::DOUBLE AS k FROM B', '')}) " + interval_sql("percentile", "SELECT threshold, metric, value FROM V", "SELECT threshold, metric, value AS point FROM W", "threshold, metric"),
+        "threshold lower point upper",
+    )
+_air_steps = lambda rel, it: f"""SELECT {it} s AS threshold, ((a_all - ca) / NULLIF(a_all, 0)) / NULLIF((b_all - cb) / NULLIF(b_all, 0), 0) AS value FROM (SELECT {it} s, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER g AS a_all, sum(b) OVER g AS b_all
+  FROM (SELECT {it} s, sum(k * prot) AS a, sum(k * ctrl) AS b FROM ({rel}) GROUP BY {it} s) WINDOW w AS ({'PARTITION BY it' if it else ''} ORDER BY s DESC), g AS ({'PARTITION BY it' if it else ''}))"""
+register("boot_air_at_all_scores", lambda s, d: _b.adverse_impact_ratio_at_thresholds(base(s, d), "id", "s", "prot", "ctrl"), f"WITH {RP} " + interval_sql("percentile", _air_steps("SELECT * FROM RP", "it,"), f"SELECT threshold, value AS point FROM ({_air_steps('SELECT *, 1.0::DOUBLE AS k FROM B', '')})", "threshold"), "threshold lower point upper")
+
+
+def bca_sql(reps: str, point: str, jack: str, by: str = "", alpha: float = 0.025) -> str:
+    """``jack``: (by, value, times)."""
+    k, group, using = (f"{by}, ", f"GROUP BY {by}", f"USING ({by})") if by else ("", "", "ON TRUE")
+    z = lambda q: f"({ppf_sql(f'{q}::DOUBLE')})"
+    at = lambda q: cdf_sql(f"(z0 + (z0 + {z(q)}) / (1 - a * (z0 + {z(q)})))")
     pick = lambda p: f"v[floor({p} * (len(v) - 1))::INT + 1] + ({p} * (len(v) - 1) - floor({p} * (len(v) - 1))) * (v[least(floor({p} * (len(v) - 1))::INT + 2, len(v))] - v[floor({p} * (len(v) - 1))::INT + 1])"
-    return f"""J AS ({jack}), A AS (SELECT sum(pow(m - value, 3)) / (6 * pow(sum(pow(m - value, 2)), 1.5::DOUBLE)) AS a FROM J, (SELECT avg(value) AS m FROM J)), PT AS ({point}),
-      V AS (SELECT list_sort(list(value)) AS v, avg(((value < point)::INT + (value <= point)::INT) / 2.0::DOUBLE) AS below, any_value(point) AS point FROM ({reps}), PT),
-      Z AS (SELECT v, point, a, {ppf_sql('below')} AS z0 FROM V, A), PP AS (SELECT v, point, {at(alpha)} AS p1, {at(1 - alpha)} AS p2 FROM Z) SELECT {pick('p1')} AS lower, point, {pick('p2')} AS upper FROM PP"""
+    return f"""J AS (SELECT * FROM ({jack}) WHERE value IS NOT NULL), JM AS (SELECT {k}sum(value * times) / sum(times) AS m FROM J {group}),
+      A AS (SELECT {k}sum(times * pow(m - value, 3)) / NULLIF(6 * pow(sum(times * pow(m - value, 2)), 1.5::DOUBLE), 0) AS a FROM J JOIN JM {using} {group}), PT AS ({point}),
+      V AS (SELECT {k}list_sort(list(value)) AS v, avg(((value < point)::INT + (value <= point)::INT) / 2.0::DOUBLE) AS below, any_value(point) AS point FROM (SELECT * FROM ({reps}) WHERE value IS NOT NULL) JOIN PT {using} {group}),
+      Z AS (SELECT {k}v, point, a, {ppf_sql('b')} AS z0 FROM (SELECT *, CASE WHEN below > 0 AND below < 1 THEN below END AS b FROM V) JOIN A {using}),
+      PP AS (SELECT {k}v, point, {at(alpha)} AS p1, {at(1 - alpha)} AS p2 FROM Z) SELECT {k}{pick('p1')} AS lower, point, {pick('p2')} AS upper FROM PP"""
+
+
+def rank_bca_sql(kind: str) -> str:
+    """Leave-one-out values by leaving out one row of every (score, label), step by step."""
+    steps = "S AS (SELECT s, sum(y) AS p, sum(1 - y) AS n FROM B GROUP BY s), O AS (SELECT s AS os, y AS oy, count(*)::DOUBLE AS times FROM B GROUP BY s, y)"
+    order = "DESC" if kind == "average_precision" else "ASC"
+    cum = f"C AS (SELECT s, p, n, sum(p) OVER (ORDER BY s {order}) AS cp, sum(n) OVER (ORDER BY s {order}) AS cn, sum(p) OVER () AS ap, sum(n) OVER () AS an FROM S)"
+    reached = "s <= os" if kind == "average_precision" else "s >= os"
+    left = f"SELECT os, oy, times, s, p - (s = os)::INT * oy AS p, cp - ({reached})::INT * oy AS cp, cn - ({reached})::INT * (1 - oy) AS cn, ap - oy AS ap, an - (1 - oy) AS an FROM C, O"
+    value = "sum(coalesce(p * cp / NULLIF(cp + cn, 0), 0)) / NULLIF(any_value(ap), 0)" if kind == "average_precision" else "max(abs(cp / NULLIF(ap, 0) - cn / NULLIF(an, 0)))"
+    one = boot_rank_sql(RP, "RP", kind)
+    reps, point = one[one.index("(SELECT v AS value") + 1 : one.index(") WHERE value IS NOT NULL")], one[one.rindex("(SELECT v AS point") + 1 : one.rindex(") ON TRUE")]
+    return f"WITH {RP}, {steps}, {cum}, " + bca_sql(reps, point, f"SELECT {value} AS value, any_value(times) AS times FROM ({left}) GROUP BY os, oy")
 
 
 _c = bootstrap.Bootstrap(ITERATIONS, method="BCa", sampling_method="poisson", seed=SEED)
-register("boot_mean_bca", lambda s, d: _c.mean(base(s, d), "id", "s"), f"WITH {RP}, " + bca_sql("SELECT sum(k * s) / sum(k) AS value FROM RP GROUP BY it", "SELECT avg(s) AS point FROM B", "SELECT (sum(s) OVER () - s) / (count(*) OVER () - 1) AS value FROM B"), "lower point upper")
-register("boot_roc_auc_bca", lambda s, d: _c.roc_auc(base(s, d), "id", "y", "s"))
-register("boot_r2_bca", lambda s, d: _c.r2(base(s, d), "id", "w", "s"))
-register("boot_cm_bca", lambda s, d: _c.confusion_matrix(base(s, d), "id", "y", "pred"))
-register("boot_air_bca", lambda s, d: _c.adverse_impact_ratio(base(s, d), "id", "low", "prot", "ctrl"))
-register("boot_cm_at_thresholds_bca", lambda s, d: _c.confusion_matrix_at_thresholds(base(s, d), "id", "y", "s", FEW, _three_metrics))
+register("boot_mean_bca", lambda s, d: _c.mean(base(s, d), "id", "s"), f"WITH {RP}, " + bca_sql("SELECT sum(k * s) / sum(k) AS value FROM RP GROUP BY it", "SELECT avg(s) AS point FROM B", "SELECT (sum(s) OVER () - s) / (count(*) OVER () - 1) AS value, 1 AS times FROM B"), "lower point upper")
+_auc_one = boot_rank_sql(RP, "RP", "roc_auc")
+register("boot_roc_auc_bca", lambda s, d: _c.roc_auc(base(s, d), "id", "y", "s"), f"""WITH {RP}, S AS (SELECT s, sum(y) AS p, sum(1 - y) AS n FROM B GROUP BY s), C AS (SELECT s, p, n, sum(n) OVER (ORDER BY s) - n / 2 AS below, sum(p) OVER () - sum(p) OVER (ORDER BY s) + p / 2 AS above, sum(p) OVER () AS ap, sum(n) OVER () AS an FROM S),
+  U AS (SELECT sum(p * below) AS won FROM C), """ + bca_sql(_auc_one[_auc_one.index("(SELECT v AS value") + 1 : _auc_one.index(") WHERE value IS NOT NULL")], _auc_one[_auc_one.rindex("(SELECT v AS point") + 1 : _auc_one.rindex(") ON TRUE")],
+  "SELECT CASE WHEN y = 1 THEN (won - below) / ((ap - 1) * an) ELSE (won - above) / (ap * (an - 1)) END AS value, 1 AS times FROM B JOIN C USING (s), U"), "lower point upper")
+register("boot_average_precision_bca", lambda s, d: _c.average_precision(base(s, d), "id", "y", "s"), rank_bca_sql("average_precision"), "lower point upper")
+register("boot_max_ks_bca", lambda s, d: _c.max_ks(base(s, d), "id", "y", "s"), rank_bca_sql("max_ks"), "lower point upper")
+_r2 = "(1 - sum({w} * (w - s) * (w - s)) / (sum({w} * w * w) - sum({w} * w) * sum({w} * w) / sum({w})))"
+register("boot_r2_bca", lambda s, d: _c.r2(base(s, d), "id", "w", "s"), f"WITH {RP}, T AS (SELECT count(*) AS aw, sum(w) AS ay, sum(w * w) AS ayy, sum((w - s) * (w - s)) AS ae FROM B), " + bca_sql(f"SELECT {_r2.format(w='k')} AS value FROM RP GROUP BY it", f"SELECT {_r2.format(w='1.0::DOUBLE')} AS point FROM B",
+  "SELECT 1 - (ae - (w - s) * (w - s)) / (ayy - w * w - (ay - w) * (ay - w) / (aw - 1)) AS value, 1 AS times FROM B, T"), "lower point upper")
+_left_cm = lambda pred, extra="": f"""(SELECT o.y AS oy, o.p AS op, o.times, c.y, c.p AS pred, c.times - (c.y = o.y AND c.p = o.p)::INT AS w2{extra.format('o')} FROM LC c JOIN LC o ON {'c.threshold = o.threshold' if extra else 'TRUE'})"""
+register("boot_cm_bca", lambda s, d: _c.confusion_matrix(base(s, d), "id", "y", "pred"), f"WITH {RP}, LC AS (SELECT y, pred AS p, count(*)::DOUBLE AS times FROM B GROUP BY ALL), " + bca_sql(_reps_cm("RP"), _point_cm,
+  f"SELECT metric, value, times FROM ({long_sql('SELECT * EXCLUDE (oy, op) FROM (' + derive_sql(cells_sql(w='w2', relation=_left_cm('p'), keys='oy, op, times'), 'oy, op, times') + ')', M.CONFUSION)})", "metric"), "lower point upper")
+register("boot_cm_at_thresholds_bca", lambda s, d: _c.confusion_matrix_at_thresholds(base(s, d), "id", "y", "s", FEW, _three_metrics), f"""WITH {RP}, {values_sql(FEW)}, V0 AS ({long_sql('SELECT it, threshold, tpr, precision, mcc FROM (' + _inner('k', 'RP', 'it, threshold') + ')', _three_metrics)}),
+  W0 AS ({long_sql('SELECT threshold, tpr, precision, mcc FROM (' + _inner('1.0::DOUBLE', 'B', 'threshold') + ')', _three_metrics)}), LC AS (SELECT threshold, y, (s >= threshold)::INT AS p, count(*)::DOUBLE AS times FROM B, T GROUP BY ALL), """ + bca_sql("SELECT threshold, metric, value FROM V0", "SELECT threshold, metric, value AS point FROM W0",
+  f"SELECT threshold, metric, value, times FROM ({long_sql('SELECT threshold, times, tpr, precision, mcc FROM (' + derive_sql(cells_sql(w='w2', relation=_left_cm('p', ', {}.threshold'), keys='threshold, oy, op, times'), 'threshold, oy, op, times') + ')', _three_metrics)})", "threshold, metric"), "lower point upper")
+_air = "(sum({w} * prot * {y}) / NULLIF(sum({w} * prot), 0)) / NULLIF(sum({w} * ctrl * {y}) / NULLIF(sum({w} * ctrl), 0), 0)"
+_left_air = lambda extra="": f"SELECT {extra.format('o')} o.prot AS op, o.ctrl AS oc, o.y AS oy, o.times, c.prot, c.ctrl, c.y, c.times - (c.prot = o.prot AND c.ctrl = o.ctrl AND c.y = o.y)::INT AS w2 FROM LC c JOIN LC o ON {'c.threshold = o.threshold' if extra else 'TRUE'}"
+register("boot_air_bca", lambda s, d: _c.adverse_impact_ratio(base(s, d), "id", "low", "prot", "ctrl"), f"WITH {RP}, LC AS (SELECT prot, ctrl, low AS y, count(*)::DOUBLE AS times FROM B GROUP BY ALL), " + bca_sql(f"SELECT {_air.format(w='k', y='low')} AS value FROM RP GROUP BY it", f"SELECT {_air.format(w='1.0::DOUBLE', y='low')} AS point FROM B",
+  f"SELECT {_air.format(w='w2', y='y')} AS value, any_value(times) AS times FROM ({_left_air()}) GROUP BY op, oc, oy"), "lower point upper")
+register("boot_air_at_thresholds_bca", lambda s, d: _c.adverse_impact_ratio_at_thresholds(base(s, d), "id", "s", "prot", "ctrl", FEW), f"WITH {RP}, {values_sql(FEW)}, LC AS (SELECT threshold, prot, ctrl, (s < threshold)::INT AS y, count(*)::DOUBLE AS times FROM B, T GROUP BY ALL), " + bca_sql(
+  _airt("k", "RP", "it, threshold"), f"SELECT threshold, value AS point FROM ({_airt('1.0::DOUBLE', 'B', 'threshold')})", f"SELECT threshold, {_air.format(w='w2', y='y')} AS value, any_value(times) AS times FROM ({_left_air('{}.threshold,')}) GROUP BY threshold, op, oc, oy", "threshold"), "lower point upper")
+_suppliers = "S AS (SELECT s_suppkey AS id, s_acctbal AS x FROM supplier)"
+register("boot_run_bca", lambda s, d: _c.run(_read(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x")), "id", lambda k: F.try_divide(F.sum(F.col("x") * F.col(k)), F.sum(k)), as_expression=True),
+  f"WITH {_suppliers}, RS AS (SELECT x, it, {poisson_sql('u')}::DOUBLE AS k FROM (SELECT x, it, {_u} AS u FROM S, (SELECT range AS it FROM range({ITERATIONS})))), " + bca_sql("SELECT sum(k * x) / sum(k) AS value FROM RS GROUP BY it", "SELECT avg(x) AS point FROM S", "SELECT (sum(x) OVER () - x) / (count(*) OVER () - 1) AS value, 1 AS times FROM S"), "lower point upper")
 
 
 # Selection and streaming

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType, StructField, StructType
 
 FORMATS = ("parquet", "orc", "csv", "json", "text", "jdbc", "table")
 
@@ -42,3 +43,15 @@ def load_params(spark: SparkSession, path: str, tables: tuple[str, ...] = ()) ->
     """What save_params wrote."""
     params = json.loads(spark.read.text(f"{path}/params").first()[0])
     return params, {t: spark.read.parquet(f"{path}/{t}") for t in tables}
+
+
+def save_table(spark: SparkSession, path: str, kind: DataType, values: list) -> None:
+    """Writes a short list of values of one type."""
+    schema = StructType([StructField("value", kind)])
+    spark.createDataFrame([(v,) for v in values], schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_table(spark: SparkSession, path: str) -> tuple[DataType, list]:
+    """The type and the sorted values that save_table wrote."""
+    df = spark.read.parquet(path)
+    return df.schema["value"].dataType, sorted(r["value"] for r in df.collect())

@@ -1,6 +1,7 @@
 import math
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,58 @@ def test_scalers_round_trip_and_save(spark, tmp_path):
     assert [tuple(r) for r in seen.collect()] == [("a", True, False), (None, None, None), ("z", False, False)]
 
 
+def test_nan_counts_as_null(spark):
+    nan = float("nan")
+    clean = spark.createDataFrame([(float(i),) for i in range(50)] + [(None,)], "x double")
+    dirty = spark.createDataFrame([(float(i),) for i in range(50)] + [(nan,)], "x double")
+    other = spark.range(40).select((F.col("id") * 0.9).alias("x"))
+    for nulls in (True, False):
+        assert drift.psi(dirty, other, "x", include_nulls=nulls).first()[0] == pytest.approx(drift.psi(clean, other, "x", include_nulls=nulls).first()[0])
+        assert drift.psi(other, dirty, "x", bins=[0, 10, 60], include_nulls=nulls).first()[0] == pytest.approx(drift.psi(other, clean, "x", bins=[0, 10, 60], include_nulls=nulls).first()[0])
+    for scaler in (preprocessing.MinMaxScaler(), preprocessing.StandardScaler(), preprocessing.RobustScaler(), preprocessing.RobustScaler(exact=False)):
+        assert [r.x for r in scaler.fit_transform(dirty).collect()][:50] == pytest.approx([r.x for r in scaler.fit_transform(clean).collect()][:50])
+
+
+def test_categories_of_any_type_are_saved(spark, tmp_path):
+    import datetime
+    import decimal
+
+    rows = [(datetime.date(2020, 1, i), decimal.Decimal(f"{i}.50"), i % 2 == 0) for i in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "d date, m decimal(6,2), b boolean")
+    fitted = preprocessing.OneHotEncoder().fit(df)
+    fitted.save(spark, f"{tmp_path}/e")
+    again = preprocessing.OneHotEncoder.load(spark, f"{tmp_path}/e")
+    assert again.categories_ == fitted.categories_ and again.transform(df).collect() == fitted.transform(df).collect()
+
+
+def test_tables_and_arrays(spark, tmp_path):
+    from statspark import core
+    from statspark.sources import io
+
+    df = spark.range(20).select("id", (F.col("id") % 3).alias("k"))
+    for kind, options in (("parquet", {}), ("orc", {}), ("json", {}), ("csv", {"header": "true"})):
+        io.write(df, f"{tmp_path}/{kind}", kind, partition_by=["k"] if kind == "parquet" else None, **options)
+        back = io.read(spark, f"{tmp_path}/{kind}", kind, None if kind in ("parquet", "orc") else "id long, k long", **options)
+        assert sorted((r.id, int(r.k)) for r in back.collect()) == [(i, i % 3) for i in range(20)]
+    for bad in (lambda: io.read(spark, "x", "csv"), lambda: io.read(spark, "x", "nope")):
+        with pytest.raises(ValueError):
+            bad()
+    got = M.roc_auc(core.from_arrays(spark, y=[True, False, None, True], s=np.array([0.9, 0.1, 0.5, float("nan")])), "y", "s").first()[0]
+    assert got == 1.0
+    with pytest.raises(ValueError):
+        core.from_arrays(spark, a=[1], b=[1, 2])
+
+
+def test_exact_quantiles(spark):
+    from statspark.plans.prefix import quantiles
+
+    pdf = spark.range(500).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(97)).cast("double").alias("x")).toPandas()
+    levels = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    for r in quantiles(spark.createDataFrame(pdf), "x", levels, "q", "g").collect():
+        assert r.q == pytest.approx(list(pdf[pdf.g == r.g].x.quantile(levels)))
+    assert quantiles(spark.createDataFrame(pdf), "x", levels, "q").first().q == pytest.approx(list(pdf.x.quantile(levels)))
+
+
 def test_as_of(spark):
     t = spark.createDataFrame([(0.1,), (0.5,), (2.0,)], "k double")
     d = spark.createDataFrame([(0.5, "a"), (1.0, "b")], "k double, v string")
@@ -141,7 +194,29 @@ def test_jackknife_of_auc_against_brute_force(spark):
     assert len(got) == 24 and all(any(abs(w - g) < 1e-12 for g in got) for w in want)
 
 
-def test_selection(spark):
+@pytest.mark.parametrize("weighted", [False, True])
+def test_jackknife_of_ranks_against_brute_force(spark, weighted):
+    rows = [(i, int(i * 7 % 5 > 1), float(i * 13 % 6), float(1 + i % 3 if weighted else 1)) for i in range(18)] + [(18, 1, -1.0, 1.0)]
+    b = bootstrap.Bootstrap(2)
+    cells = M.coerce(spark.createDataFrame(rows, "id long, y int, s double, w double"), "id", "w", y=M.truth("y"), s=M.number("s"))
+
+    def ap(left):
+        out = 0.0
+        for t in {s for _, _, s, _ in left}:
+            tp = sum(w for _, y, s, w in left if y and s >= t)
+            out += sum(w for _, y, s, w in left if y and s == t) * tp / sum(w for _, _, s, w in left if s >= t)
+        return out / sum(w for _, y, _, w in left if y)
+
+    def ks(left):
+        share = lambda c, t: sum(w for _, y, s, w in left if y == c and s <= t) / sum(w for _, y, _, w in left if y == c)
+        return max(abs(share(1, t) - share(0, t)) for t in {s for _, _, s, _ in left})
+
+    for jack, brute in ((b._ap_jackknife, ap), (b._ks_jackknife, ks)):
+        got = sorted(v for r in jack(cells).collect() for v in [r.value] * int(r.times))
+        assert got == pytest.approx(sorted(brute([r for r in rows if r is not out]) for out in rows))
+
+
+def test_selection(spark, tmp_path):
     from pyspark.ml.classification import DecisionTreeClassifier
 
     df = spark.range(500).select("id", (F.pmod(F.xxhash64("id"), F.lit(97)) / 97).alias("good"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(89)) / 89).alias("bad")).withColumn("y", (F.col("good") > 0.5).cast("double"))
@@ -150,6 +225,9 @@ def test_selection(spark):
     assert selection.RFE(tree, 1, callbacks=[stop]).fit(df, ["bad", "good"], "y").selected_features_ == ["good"]
     assert len(stop.metrics) == 2 and stop.best_metric > 0.9
     assert selection.NFE(tree).fit(df, ["bad", "good"], "y", "id").selected_features_ == ["good"]
+    rfe = selection.RFE(tree, 1, callbacks=[selection.ModelCheckpoint(f"{tmp_path}/models")]).fit(df, ["bad", "good"], "y")
+    assert sorted(p.name for p in (tmp_path / "models").iterdir()) == ["0", "1"]
+    assert rfe.transform().numFeatures == 1 and rfe.transform(df, "y").numFeatures == 1
     with pytest.raises(TypeError):
         selection.RFE(DecisionTreeClassifier)
 
