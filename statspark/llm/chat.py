@@ -30,39 +30,43 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _UNESCAPE, "$1$2$3")
 
 
-def paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
+def paths(nodes: DataFrame) -> DataFrame:
     """All root-to-leaf paths of reply trees: (tree, leaf, depth, node), depth 0 at the root.
 
     ``nodes``: tree, node and parent (long; a null parent marks a root, as does
     one that is no node of the tree). Self-joins double the distance in each
     round: jump tables of 1, 2, 4, ... steps, then every path is filled in from
     its leaf by the same tables, largest steps first. So a chain of n turns takes
-    about 2 log2(n) joins, and rows never outnumber the paths' nodes.
-    A loop raises, as it leaves nodes without a root after ``max_rounds`` doublings.
+    about 2 log2(n) joins, and rows never outnumber the paths' nodes. A null tree is a tree.
+    A loop raises ValueError: it leaves jumps of more steps than the largest tree has nodes.
     """
     base = store.table(nodes.select("tree", "node", "parent"), "nodes")
     own = base.select(F.col("tree").alias("t"), F.col("node").alias("p"))
-    up = base.join(own, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("p"))).select("tree", "node", F.col("p").alias("to"))
+    up = base.join(own, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p"))).select("tree", "node", F.col("p").alias("to"))
     jumps = [store.table(up, "jump")]
-    for _ in range(max_rounds):
+    largest = base.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(largest.bit_length() + 1):
         a = jumps[-1]
         b = a.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("to").alias("far"))
-        new = store.table(a.join(b, (F.col("tree") == F.col("t")) & (F.col("to") == F.col("n"))).select("tree", "node", F.col("far").alias("to")), "jump")
+        new = store.table(a.join(b, F.col("tree").eqNullSafe(F.col("t")) & (F.col("to") == F.col("n"))).select("tree", "node", F.col("far").alias("to")), "jump")
         if new.isEmpty():
             store.drop(new)
             break
         jumps.append(new)
     else:
+        store.drop(base, *jumps)
         raise ValueError("replies form a loop")
     has_child = jumps[0].select(F.col("tree").alias("t"), F.col("to").alias("p")).distinct()
-    leaves = base.join(has_child, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
-    found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    leaves = base.join(has_child, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
+    found = store.table(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
     for k in range(len(jumps) - 1, -1, -1):
         j = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "to")
-        more = found.join(j, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        found = store.table(found.unionByName(more), "paths")
+        more = found.join(j, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        old, found = found, store.table(found.unionByName(more), "paths")
+        store.drop(old)
+    store.drop(base, *jumps)
     length = found.groupBy("tree", "leaf").agg(F.max("up").alias("last")).select(F.col("tree").alias("t"), F.col("leaf").alias("f"), "last")
-    out = found.join(length, (F.col("tree") == F.col("t")) & (F.col("leaf") == F.col("f")))
+    out = found.join(length, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("f")))
     return out.select("tree", "leaf", (F.col("last") - F.col("up")).alias("depth"), "node")
 
 
@@ -75,7 +79,7 @@ def rank_branches(found: DataFrame, scores: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     s = scores.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("s"))
-    means = found.join(s, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).groupBy("tree", "leaf").agg(F.avg("s").alias("score"))
+    means = found.join(s, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).groupBy("tree", "leaf").agg(F.avg("s").alias("score"))
     return means.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
 
 
@@ -105,23 +109,27 @@ def format_turns(turns: DataFrame) -> DataFrame:
 def format_trees(messages: DataFrame, best: int | None = None) -> DataFrame:
     """Formats each chosen root-to-leaf path of reply trees as one conversation.
 
-    ``messages``: tree, node, parent, role, text, score; node is unique in its
-    tree. ``best`` keeps the paths of the best ranks of each tree; None keeps all.
-    Returns (tree, leaf, rank, score, formatted, loss_spans). Rows with a null
-    tree or node are left out, as nothing can reply to them; null scores count
-    as 0; other columns are ignored; an empty table gives an empty result.
+    ``messages``: tree, node, parent, role, text, score. ``best`` keeps the paths of the best ranks of each tree; None keeps all.
+    Returns (tree, leaf, rank, score, formatted, loss_spans). Rows with a null tree are one tree. Rows with a null
+    node are left out, as nothing can reply to them. Rows that repeat a node of a tree are one node: the least by parent, role, text and score,
+    nulls first. Loops raise ValueError. Null scores count as 0; other columns are ignored; an empty table gives an empty result. A
+    conversation is formatted in one task, which has to hold it.
     """
-    base = store.table(messages.select("tree", "node", "parent", "role", "text", "score").filter("tree IS NOT NULL AND node IS NOT NULL"), "messages")
+    base = store.table(messages.select("tree", "node", "parent", "role", "text", "score").filter("node IS NOT NULL"), "messages")
+    if not base.groupBy("tree", "node").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        least = base.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("x"))
+        old, base = base, store.table(least.select("tree", "node", "x.*"), "messages")
+        store.drop(old)
     found = store.table(paths(base), "paths")
     ranked = rank_branches(found, base).select(F.col("tree").alias("t"), F.col("leaf").alias("f"), "rank", "score")
     if best is not None:
         ranked = ranked.filter(F.col("rank") <= best)
     ranked = store.table(ranked, "ranked")
-    chosen = found.join(ranked, (F.col("tree") == F.col("t")) & (F.col("leaf") == F.col("f")), "left_semi")
+    chosen = found.join(ranked, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("f")), "left_semi")
     said = base.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
-    turns = chosen.join(said, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "depth", "role", "text")
+    turns = chosen.join(said, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "depth", "role", "text")
     out = format_turns(turns)
-    return out.join(ranked, (F.col("tree") == F.col("t")) & (F.col("leaf") == F.col("f"))).select("tree", "leaf", "rank", "score", "formatted", "loss_spans")
+    return out.join(ranked, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("f"))).select("tree", "leaf", "rank", "score", "formatted", "loss_spans")
 
 
 def chain(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -129,12 +137,12 @@ def chain(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFra
 
     Turns are ordered by turn, role and text, nulls first, so ties and repeated
     rows are separate turns in a fixed order. Their numbers in this order
-    are the nodes. A null conversation id is dropped.
+    are the nodes. Rows with a null conversation id are one conversation.
     """
     from pyspark.sql import Window
 
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    base = rows.select(F.col(conv).cast("long").alias("tree"), F.col(turn).cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).filter("tree IS NOT NULL")
+    base = rows.select(F.col(conv).cast("long").alias("tree"), F.col(turn).cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     out = base.withColumn("node", F.row_number().over(order).cast("long"))
     return out.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(None).cast("double").alias("score"))
 
@@ -159,7 +167,7 @@ WITH c AS (
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), e AS (
   SELECT *, length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) + length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) + 17 AS n
-  FROM c WHERE conv_id IS NOT NULL
+  FROM c
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,

@@ -36,7 +36,7 @@ PARITIES, FOLDED = 16, 4
 #: Ids up to which a list of them is broadcast (8 bytes each); longer lists are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Pairs for each member of a key up to which all pairs are compared at once.
-PAIRWISE = 4
+PAIRWISE = 8
 #: Rounds in which members of keys are compared with one or two of them only.
 ROUNDS = 2
 
@@ -220,7 +220,7 @@ def _may(similarity: float) -> Column:
 def components(docs: DataFrame, start: DataFrame | None, k: int, similarity: float) -> DataFrame | None:
     """(node, component) of linked nodes of rows (node, text) with distinct texts; None if nothing is linked.
 
-    ``start``: pairs (u, v) of nodes to be compared at first.
+    ``start``: pairs (u, v) of nodes to be compared besides those of the prefix keys.
     """
     links = comp = None
     made: list[DataFrame] = []
@@ -237,7 +237,9 @@ def components(docs: DataFrame, start: DataFrame | None, k: int, similarity: flo
             store.drop(new)
 
     def link(pairs: DataFrame) -> None:
-        pairs = store.table(pairs.distinct(), "pairs")
+        nonlocal start
+        pairs = store.table((pairs if start is None else pairs.unionByName(start)).distinct(), "pairs")
+        start = None
         members = store.table(pairs.select(F.explode(F.array("u", "v")).alias("q")).distinct(), "members")
         sets = store.table(shingle_sets(by_ids(docs, members, "left_semi"), k), "sets")
         near = _near(pairs, sets, similarity)
@@ -254,8 +256,6 @@ def components(docs: DataFrame, start: DataFrame | None, k: int, similarity: flo
             verify(near, sets)
         store.drop(pairs, members, sets, near, first, rest)
 
-    if start is not None:
-        link(start)
     keys = store.table(prefix_keys(docs, k, similarity, frequencies(docs, k)), "keys")
     # A key is of use from two members on, of which one has it among the first of a smaller set.
     early = F.col("pos") <= F.col("m") - F.ceil(2 * similarity / (1 + similarity) * F.col("m") - 1e-9)
@@ -275,6 +275,8 @@ def components(docs: DataFrame, start: DataFrame | None, k: int, similarity: flo
         open_ = store.table(counts.filter("comps > 1 AND e > 0").select(F.col("key").alias("q"), (F.col("n").cast("double") * F.col("e") - F.col("own")).alias("left")), "open")
         left = open_.agg(F.sum("left")).first()[0] or 0
         if not left:
+            if start is not None:
+                link(start.limit(0))
             store.drop(open_)
             break
         last = left <= PAIRWISE * n_rows or turn > ROUNDS

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from statspark.llm import chat, rules
@@ -19,11 +20,11 @@ def test_trees_are_ranked(spark):
     rows = [(1, 1, None, "user", "q", None), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", "good", 0.9), (1, 4, 3, "user", "more", 0.8), (1, 5, 3, "user", "other", 0.7), (2, 1, None, "user", "alone", None), (3, 7, 99, "user", "orphan", 1.0), (None, 1, None, "user", "x", 1.0)]
     df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
     found = {(r.tree, r.leaf): r for r in chat.format_trees(df).collect()}
-    assert set(found) == {(1, 2), (1, 4), (1, 5), (2, 1), (3, 7)}
+    assert set(found) == {(1, 2), (1, 4), (1, 5), (2, 1), (3, 7), (None, 1)}
     assert [found[1, k]["rank"] for k in (4, 5, 2)] == [1, 2, 3]
     assert found[1, 4].formatted == "<s>[INST]user[/INST]q</s>[INST]assistant[/INST]good</s>[INST]user[/INST]more</s>"
     best = chat.format_trees(df, best=1).collect()
-    assert {(r.tree, r.leaf) for r in best} == {(1, 4), (2, 1), (3, 7)}
+    assert {(r.tree, r.leaf) for r in best} == {(1, 4), (2, 1), (3, 7), (None, 1)}
 
 
 def test_long_chain_and_empty(spark):
@@ -32,6 +33,20 @@ def test_long_chain_and_empty(spark):
     assert chat.format_trees(chat.chain(df.limit(0))).count() == 0
 
 
+def test_loops_repeated_nodes_and_null_ids(spark):
+    schema = "tree long, node long, parent long, role string, text string, score double"
+    for loop in ([(1, 1, 2, "u", "a", None), (1, 2, 1, "u", "b", None)], [(1, 1, 1, "u", "a", None)], [(1, 0, None, "u", "x", None), (1, 1, 3, "u", "a", None), (1, 2, 1, "u", "b", None), (1, 3, 2, "u", "c", None)]):
+        with pytest.raises(ValueError):
+            chat.format_trees(spark.createDataFrame(loop, schema)).count()
+    rows = [(None, 1, None, "user", "q", None), (None, 2, 1, "assistant", "z", 0.5), (None, 2, 1, "assistant", "a", 0.5), (None, 2, 1, "assistant", "a", 0.5), (1, None, None, "user", "lost", None), (2, 1, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema).withColumns({"leaf": F.lit("x"), "depth": F.lit(1), "rank": F.lit(2), "formatted": F.lit("y"), "up": F.lit(3)})
+    got = {(r.tree, r.leaf): r.formatted for r in chat.format_trees(df).collect()}
+    assert got == {(None, 2): "<s>[INST]user[/INST]q</s>[INST]assistant[/INST]a</s>", (2, 1): "<s>[INST][/INST]</s>"}
+    said = [(None, 1, "assistant", "y" * 1_000_000), (None, 0, "user", "x"), (3, 0, "user", "same"), (3, 0, "user", "same")]
+    out = {r.tree: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.format_trees(chat.chain(spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumn("node", F.lit("x"))))).collect()}
+    assert out == {None: [("user", "x"), ("assistant", "y" * 1_000_000)], 3: [("user", "same")] * 2}
+
+
 def brute_rules(t):
     t = t or ""
     words = t.encode().split()
