@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import text
+from . import store, text
 
 KINDS = ("assign", "access", "hex")
 ADDED = "guess"
@@ -144,7 +144,10 @@ def guess_cost(value: str) -> float:
 
 
 def common_words(docs: DataFrame, column: str = "text", most: int = CORPUS_WORDS) -> list[str]:
-    """The ``most`` most frequent lowered runs of 3 to 24 letters a-z in all whole texts, by count and then by name."""
+    """The most frequent lowered runs of 3 to 24 letters a-z in all whole texts, by count and then by name.
+
+    All words of a count are known or none, so there are at most ``most``: those from the least count on for which that holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text.slices(batches):
@@ -155,17 +158,16 @@ def common_words(docs: DataFrame, column: str = "text", most: int = CORPUS_WORDS
             found = text.span_array(data, a[own], z[own]).value_counts()
             yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.large_string()).cast(pa.string()), found.field(1)], names=["word", "n"])
 
-    counts = docs.select(F.col(column).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
-
-
-def base_spans(t: str) -> list[tuple[str, int, int]]:
-    """All base spans (kind, start, end) by start, then kind as in KINDS."""
-    out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(t) if m.end(2) - m.start(2) >= 6]
-    if "AKIA" in t:
-        out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(t)]
-    out += [(m.start(), 2, m.end()) for m in _HEX.finditer(t)]
-    return [(KINDS[k], a, b) for a, k, b in sorted(out)]
+    counts = store.table(docs.select(F.col(column).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total, least = 0, None
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect():
+        total += r["words"]
+        if total > most:
+            break
+        least = r["n"]
+    found = [] if least is None else [(-r["n"], r["word"]) for r in counts.filter(F.col("n") >= least).collect()]
+    store.drop(counts)
+    return [w for _, w in sorted(found)]
 
 
 def context_values(t: str, guesser: Guesser = _PLAIN_GUESSER) -> Iterator[tuple[int, int, float]]:
@@ -189,7 +191,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", min_cost
     credential contexts, null without one. Offsets are code points, ends
     exclusive. Null texts count as empty; a null doc_id stays null; repeated rows are
     scanned each and all alike; an empty table gives an empty result; other columns are ignored. A text of any length is taken whole, in one
-    task. Words of equal count are known by name, the lesser first. Known words are counted over all texts first (one shuffle of distinct words); the scan itself has no shuffle.
+    task. Known words are counted over all texts first (one shuffle of distinct words); the scan itself has no shuffle.
     """
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     costed = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("cost", pa.float64())]))
