@@ -49,7 +49,7 @@ def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.apply_policy(rules.ledger(_table(spark, sf_dir, "documents")))
     base = F.col("failed").bitwiseAND(F.lit(rules.mask(rules.BASE)).cast("long")) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
 def op6_window_countmin(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ def repeat_words(words: Column, k: int = REPEAT_WINDOW) -> Column:
 
     Windows are ordered so that equal ones are neighbours; the starts of these
     then cover at most ``k`` words each up to the next start. Arrays
-    without an equal pair, which most are, skip the sort.
+    without a pair of equal hashes, which most are, skip the words' own windows and their sort.
     """
 
     def covered(windows: Column) -> Column:
@@ -80,8 +80,9 @@ def repeat_words(words: Column, k: int = REPEAT_WINDOW) -> Column:
 
     def body(w: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(w) - k)
+        hashes = F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))))
         windows = F.transform(at, lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(k))))
-        found = let(windows, lambda x: F.when(F.size(F.array_distinct(x)) < F.size(x), covered(x)).otherwise(F.lit(0).cast("long")))
+        found = let(hashes, lambda x: F.when(F.size(F.array_distinct(x)) < F.size(x), let(windows, covered)).otherwise(F.lit(0).cast("long")))
         return F.when(F.size(w) < k, F.lit(0).cast("long")).otherwise(found)
 
     return let(words, body)
@@ -171,6 +172,8 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 5 * n_symbols > n_words
-            OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+            OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept,
+       ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (5 * n_symbols > n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT
+        + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT)::BIGINT AS failed
 FROM m
 """

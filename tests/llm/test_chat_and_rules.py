@@ -69,7 +69,7 @@ def test_ledger_equals_brute_force_and_sql(spark):
     con.register("documents", df.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
     sql = con.execute(rules.ORACLE).fetchall()
     base = F.col("failed").bitwiseAND(F.lit(rules.mask(rules.BASE)).cast("long")) != 0
-    own = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base, "kept").collect()
+    own = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base, "kept", "failed").collect()
     assert sorted(map(str, sql)) == sorted(str(tuple(r)) for r in own)
     assert rules.ledger(df.limit(0)).count() == 0
 
