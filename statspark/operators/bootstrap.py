@@ -64,16 +64,19 @@ def bca_interval(reps: DataFrame, point: DataFrame, jack: DataFrame, alpha: floa
     )
     s = join_groups(s, a, by).withColumn("z0", norm_ppf("below"))
 
-    def at(z: float) -> Column:
-        shifted = F.col("z0") + norm_ppf(F.lit(z))
-        p = norm_cdf(F.col("z0") + sdiv(shifted, 1 - F.col("acceleration") * shifted))
-        p = F.when(~F.isnan(p), p)
-        place = p * (F.size("v") - 1)
-        low = F.floor(place).cast("int")
-        return F.get("v", low) + (place - low) * (F.get("v", F.least(low + 1, F.size("v") - 1)) - F.get("v", low))
+    # One step a projection, so that no step is written out again in the next.
+    shifted = {n: F.col("z0") + norm_ppf(F.lit(z)) for n, z in (("lo", alpha), ("hi", 1 - alpha))}
+    s = s.withColumns({f"x_{n}": F.col("z0") + sdiv(e, 1 - F.col("acceleration") * e) for n, e in shifted.items()})
+    s = s.withColumns({f"p_{n}": norm_cdf(f"x_{n}") for n in shifted})
+    s = s.withColumns({f"at_{n}": F.when(~F.isnan(f"p_{n}"), F.col(f"p_{n}")) * (F.size("v") - 1) for n in shifted})
+    s = s.withColumns({f"low_{n}": F.floor(f"at_{n}").cast("int") for n in shifted})
+
+    def pick(n: str) -> Column:
+        low = F.col(f"low_{n}")
+        return F.get("v", low) + (F.col(f"at_{n}") - low) * (F.get("v", F.least(low + 1, F.size("v") - 1)) - F.get("v", low))
 
     usable = (F.abs("z0") < float("inf")) & F.col("acceleration").isNotNull()
-    return s.select(*keys, F.when(usable, at(alpha)).alias("lower"), "point", F.when(usable, at(1 - alpha)).alias("upper"))
+    return s.select(*keys, F.when(usable, pick("lo")).alias("lower"), "point", F.when(usable, pick("hi")).alias("upper"))
 
 
 def running_before(steps: DataFrame, columns: Sequence[str]) -> DataFrame:

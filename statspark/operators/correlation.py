@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.prefix import running
+
 METHODS = ("pearson", "spearman")
 
 
@@ -25,8 +27,8 @@ def correlations(df: DataFrame, l1: Sequence | None = None, l2: Sequence[str] |
     """(c1, c2, value) for all pairs of columns, given pairs (l1), or the rectangle l1 x l2.
 
     Pearson takes all pairs in one aggregation. Spearman ranks each pair's complete
-    rows: values are counted first, so average ranks come from prefix sums over
-    distinct values.
+    rows: values are counted first, so average ranks come from prefix sums over slices of
+    distinct values, and no task holds a whole column.
     """
     if method not in METHODS:
         raise ValueError(f"`method` must be one of {METHODS}")
@@ -40,8 +42,8 @@ def correlations(df: DataFrame, l1: Sequence | None = None, l2: Sequence[str] |
     cells = df.select(both).select("r.*").dropna().groupBy("pair", "a", "b").agg(F.count("*").alias("n"))
     for side in ("a", "b"):
         marginal = cells.groupBy("pair", side).agg(F.sum("n").alias("m"))
-        w = Window.partitionBy("pair").orderBy(side).rowsBetween(Window.unboundedPreceding, 0)
-        ranks = marginal.select(F.col("pair").alias("q"), F.col(side).alias("at"), (F.sum("m").over(w) - (F.col("m") - 1) / 2.0).alias(f"rank_{side}"))
+        ranked = running(marginal, side, ["m"], "pair")
+        ranks = ranked.select(F.col("pair").alias("q"), F.col(side).alias("at"), (F.col("cum_m") - (F.col("m") - 1) / 2.0).alias(f"rank_{side}"))
         cells = cells.join(ranks, (F.col("pair") == F.col("q")) & (F.col(side) == F.col("at"))).drop("q", "at")
     n, ra, rb = F.col("n"), F.col("rank_a"), F.col("rank_b")
     sums = cells.groupBy("pair").agg(F.sum("n").alias("t"), *(F.sum(n * e).alias(k) for k, e in {"sa": ra, "sb": rb, "saa": ra * ra, "sbb": rb * rb, "sab": ra * rb}.items()))
