@@ -192,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     each; an empty table on either side gives an empty result; other
     columns are ignored. rid is the row's monotonically_increasing_id().
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
+    rows = text.small_batches(docs).select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
     out = None
     for block in _blocks(benchmark, item_id, item_text, block_words):
         part = tile_block(rows, Seeds.of(block, k), threshold)
@@ -205,7 +205,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", column
 
     One narrow pass for each block of the benchmark: a row is dropped where it stands.
     """
-    out = docs
+    out = text.small_batches(docs)
     at = docs.columns.index(column)
     for block in _blocks(benchmark, "item_id", "text", block_words):
         sent = docs.sparkSession.sparkContext.broadcast(Seeds.of(block, k))

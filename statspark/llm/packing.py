@@ -231,7 +231,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
         if held:
             yield flush()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return text.small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text")).mapInArrow(run, _SCHEMA)
 
 
 _ENCODERS: dict[str, Encoder] = {}

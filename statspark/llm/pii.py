@@ -162,7 +162,7 @@ def extract(docs: DataFrame, doc_id: str = "doc_id", column: str = "text") -> Da
                 found.append([{"kind": k, "start": a, "end": z, "instance": _hash(t[a:z].lower()), "allows": allowed(t[a:z], k), "patterns": contexts(t, a, z)} for k, a, z in every])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(node))], names=["rid", "doc_id", "base", "found"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
+    rows = text.small_batches(docs).select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
     schema = "rid long, doc_id long, base array<struct<kind:string,start:int,end:int>>, found array<struct<kind:string,start:int,end:int,instance:long,allows:int,patterns:array<long>>>"
     return store.table(rows.mapInArrow(run, schema), "pii")
 

@@ -217,7 +217,7 @@ def measured(docs: DataFrame, doc_id: str, column: str) -> DataFrame:
             offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.float32).ravel()))], names=["rid", "doc_id", "x"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
+    rows = text.small_batches(docs).select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
     return store.table(rows.mapInArrow(run, "rid long, doc_id long, x array<float>"), "features")
 
 
@@ -231,7 +231,15 @@ def train(rows: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     known = labels.select(F.col("doc_id").cast("long").alias("l"), F.col("quality").cast("int").alias("y")).filter("l IS NOT NULL AND y IS NOT NULL").groupBy("l").agg(F.min("y").alias("y"))
     known = known.filter(~held_out("l"))
     own = rows.join(known, rows.doc_id == known.l).groupBy("l").agg(F.min("x").alias("x"), F.min("y").alias("y"))
-    sample = own.orderBy(F.xxhash64("l"), "l").limit(max_rows).select("x", "y").toPandas()
+    # A histogram of the hash's upper 16 bits bounds what the tasks send to the driver by about the sample.
+    own = store.table(own.withColumn("h", F.shiftrightunsigned(F.xxhash64("l"), 24)), "labelled")
+    total, last = 0, 0
+    for r in sorted(own.groupBy(F.shiftright("h", 24).alias("b")).agg(F.count("*").alias("n")).collect()):
+        total, last = total + r["n"], r["b"]
+        if total >= max_rows:
+            break
+    sample = own.filter(F.shiftright("h", 24) <= last).orderBy("h", "l").limit(max_rows).select("x", "y").toPandas()
+    store.drop(own)
     x = np.array(sample["x"].tolist(), dtype=np.float32).reshape(len(sample), len(FEATURES))
     return fit(x.astype(float), sample["y"].to_numpy(dtype=float))
 
@@ -275,4 +283,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", column
             x = features(b.column(b.schema.get_field_index(column))).astype(np.float32).astype(float)
             yield b.filter(pa.array(sent.value.score(x) >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    return text.small_batches(docs).mapInArrow(run, schema)

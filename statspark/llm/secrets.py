@@ -209,7 +209,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", min_cost
                 most.append(max((c for *_, c in values), default=None))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, span), pa.array(added, costed), pa.array(least, pa.float64()), pa.array(most, pa.float64())], names=["doc_id", "base", "added", "weakest", "strongest"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
+    rows = text.small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, base array<struct<kind:string,start:int,end:int>>, added array<struct<kind:string,start:int,end:int,cost:double>>, weakest double, strongest double")
 
 

@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", column: str = "text")
             fps = [fingerprint(x or b"") for x in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
+    rows = text.small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -193,7 +193,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", k: i
     within a component. Repeated rows are one component. A text of any length is taken whole, in one task. An empty table gives an empty one.
     """
     rid = "__nd_rid"
-    base = store.table(docs.withColumn(rid, F.monotonically_increasing_id()), "docs")
+    base = store.table(text.small_batches(docs).withColumn(rid, F.monotonically_increasing_id()), "docs")
     if similarity is None:
         if k != SHINGLE:
             raise ValueError("fingerprints alone take SHINGLE words")

@@ -287,7 +287,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", k: int
     """
     t = F.col(column).cast("string")
     d = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d")
-    gone = covered(docs.select(d, F.xxhash64(t).alias("th"), t.alias("text")), k, max_width).withColumnsRenamed({"d": "gd", "th": "gt"})
+    gone = covered(text.small_batches(docs).select(d, F.xxhash64(t).alias("th"), t.alias("text")), k, max_width).withColumnsRenamed({"d": "gd", "th": "gt"})
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), d, F.xxhash64(t).alias("th"), t.alias("text"))
     both = whole.join(gone, (F.col("d") == F.col("gd")) & (F.col("th") == F.col("gt")), "left").select("doc_id", "text", "gone")
 

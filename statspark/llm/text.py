@@ -8,13 +8,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that a Python worker takes up at a time. One longer text is taken alone.
 SLICE_BYTES = 1 << 20
 
+#: Rows that Spark sends to a Python worker at once, where the session leaves its own default: whole texts are long rows.
+BATCH_ROWS = 500
+_ROWS_OF_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _U = np.uint64
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs`` itself; lowers the session's number of rows in an Arrow batch from Spark's default to BATCH_ROWS. A number that the user set stays."""
+    conf = docs.sparkSession.conf
+    if conf.get(_ROWS_OF_A_BATCH) == "10000":
+        conf.set(_ROWS_OF_A_BATCH, str(BATCH_ROWS))
+    return docs
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds at most ``most`` bytes of text, or one row."""
     for batch in batches:
