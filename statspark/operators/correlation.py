@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..plans.prefix import running
 
 METHODS = ("pearson", "spearman")
+#: Slices of each pair's ranks.
+PAIR_SLICES = 32
+#: Pairs up to which edges and totals of slices are broadcast (about 500 bytes for each pair).
+FEW_PAIRS = 20_000
 
 
 def _pairs(df: DataFrame, l1, l2) -> list[tuple[str, str]]:  # noqa: ANN001
@@ -42,7 +46,7 @@ def correlations(df: DataFrame, l1: Sequence | None = None, l2: Sequence[str] |
     cells = df.select(both).select("r.*").dropna().groupBy("pair", "a", "b").agg(F.count("*").alias("n"))
     for side in ("a", "b"):
         marginal = cells.groupBy("pair", side).agg(F.sum("n").alias("m"))
-        ranked = running(marginal, side, ["m"], "pair")
+        ranked = running(marginal, side, ["m"], "pair", slices=PAIR_SLICES, few=len(pairs) <= FEW_PAIRS)
         ranks = ranked.select(F.col("pair").alias("q"), F.col(side).alias("at"), (F.col("cum_m") - (F.col("m") - 1) / 2.0).alias(f"rank_{side}"))
         cells = cells.join(ranks, (F.col("pair") == F.col("q")) & (F.col(side) == F.col("at"))).drop("q", "at")
     n, ra, rb = F.col("n"), F.col("rank_a"), F.col("rank_b")

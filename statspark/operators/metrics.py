@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import By, coerce, groups, join_groups, number, sdiv, truth
-from ..plans.prefix import SLICES, at_thresholds, bin_index, running
+from ..plans.prefix import SLICES, at_thresholds, bin_index, running, with_slices
 from ..plans.prefix import quantiles as exact_quantiles
 
 #: Fixed names, in the order of output.
@@ -62,9 +62,17 @@ def _cells(df: DataFrame, y_true: str, y_score: str, weight: str | None, by: By,
 
 def roc_auc(df: DataFrame, y_true: str, y_score: str, weight: str | None = None, by: By = None, slices: int | str | None = SLICES) -> DataFrame:
     """(by, roc_auc): the share of positive-negative pairs in the right order, ties counting half. NULL with one class only."""
-    steps = running(_cells(df, y_true, y_score, weight, by, slices), "s", ["n"], by, slices=slices)
+    keys = groups(by)
+    cells = _cells(df, y_true, y_score, weight, by, slices)
     won = F.sum(F.col("p") * (F.col("cum_n") - F.col("n") / 2))
-    return steps.groupBy(*groups(by)).agg(sdiv(won, F.sum("p") * F.sum("n")).alias("roc_auc"))
+    if slices is None:
+        return running(cells, "s", ["n"], by, slices=None).groupBy(*keys).agg(sdiv(won, F.sum("p") * F.sum("n")).alias("roc_auc"))
+    # Pairs within a slice are counted there; a slice's positives win against all negatives of the slices before.
+    at = slices if isinstance(slices, str) else "__slice"
+    placed = cells if isinstance(slices, str) else with_slices(cells, "s", by, slices)
+    parts = running(placed, "s", ["n"], [*keys, at], slices=None).groupBy(*keys, at).agg(won.alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return parts.withColumn("won", F.col("won") + F.col("p") * before).groupBy(*keys).agg(sdiv(F.sum("won"), F.sum("p") * F.sum("n")).alias("roc_auc"))
 
 
 def max_ks(df: DataFrame, y_true: str, y_score: str, weight: str | None = None, by: By = None, slices: int | str | None = SLICES) -> DataFrame:

@@ -13,34 +13,39 @@ from ..core import By, groups, join_groups
 SLICES = 1024
 
 
-def _join_slices(placed: DataFrame, starts: DataFrame, keys: list[str], slice_: str) -> DataFrame:
-    """Joins totals of slices (at most SLICES rows for each group) to the rows of the slices."""
-    on = F.col(slice_) == F.col("__at")
+def _join_slices(placed: DataFrame, starts: DataFrame, keys: list[str], slice_: str, few: bool = False) -> DataFrame:
+    """Joins totals of slices (at most SLICES rows for each group) to the rows of the slices.
+
+    Keys that cannot be null are compared plainly, so that rows dealt by group and slice stay where they are.
+    """
+    on = []
     for i, k in enumerate(keys):
         starts = starts.withColumnRenamed(k, f"__h{i}")
-        on = on & F.col(k).eqNullSafe(F.col(f"__h{i}"))
-    return placed.join(starts if keys else F.broadcast(starts), on)
+        on.append(F.col(k).eqNullSafe(F.col(f"__h{i}")) if placed.schema[k].nullable else F.col(k) == F.col(f"__h{i}"))
+    return placed.join(F.broadcast(starts) if few or not keys else starts, [*on, F.col(slice_) == F.col("__at")])
 
 
 def slice_edges(cells: DataFrame, order: str, by: By = None, slices: int = SLICES) -> DataFrame:
     """(by, __edges): approximate percentiles that cut the axis into ``slices``."""
-    cuts = F.array(*(F.lit((i + 1) / slices) for i in range(slices - 1)))
+    cuts = F.split(F.lit(",".join(str((i + 1) / slices) for i in range(slices - 1))), ",").cast("array<double>")  # one literal, folded
     return cells.groupBy(*groups(by)).agg(F.percentile_approx(order, cuts, F.lit(min(10 * slices, 10_000))).alias("__edges"))
 
 
-def with_slices(rows: DataFrame, order: str, by: By = None, slices: int = SLICES, out: str = "__slice") -> DataFrame:
+def with_slices(rows: DataFrame, order: str, by: By = None, slices: int = SLICES, out: str = "__slice", few: bool = False) -> DataFrame:
     """Adds ``out``, the number of the axis slice that holds ``order``; equal values share one."""
-    placed = join_groups(rows, slice_edges(rows.select(*groups(by), order), order, by, slices), by)
+    edges = slice_edges(rows.select(*groups(by), order), order, by, slices)
+    placed = join_groups(rows, F.broadcast(edges) if few else edges, by)
     return search(placed, F.col("__edges"), slices - 1, order, out, below=True).drop("__edges")
 
 
-def running(cells: DataFrame, order: str, sums: Sequence[str], by: By = None, descending: bool = False, slices: int | str | None = SLICES, largest: bool = False) -> DataFrame:
+def running(cells: DataFrame, order: str, sums: Sequence[str], by: By = None, descending: bool = False, slices: int | str | None = SLICES, largest: bool = False, few: bool = False) -> DataFrame:
     """Adds ``cum_<c>`` for each column of ``sums``: the inclusive prefix sum along ``order``, or the prefix maximum if ``largest``.
 
     ``cells`` has one row for each value of ``order`` in a group. The axis is cut at
     approximate percentiles; rows are summed within a slice, and each slice starts
     from the totals of those before. ``slices`` may name a column of ``cells`` that rises with ``order`` and is taken instead. With
-    ``slices=None`` each group is one partition, which suits many small groups.
+    ``slices=None`` each group is one partition, which suits many small groups. ``few``: the caller knows that there are few groups, so that edges and totals
+    of slices are small enough to be broadcast.
     """
     keys = groups(by)
     arrow = (lambda c: F.col(c).desc()) if descending else F.col
@@ -49,12 +54,12 @@ def running(cells: DataFrame, order: str, sums: Sequence[str], by: By = None, de
         w = Window.partitionBy(*keys).orderBy(arrow(order)).rowsBetween(Window.unboundedPreceding, 0)
         return cells.withColumns({f"cum_{c}": agg(c).over(w) for c in sums})
     at = slices if isinstance(slices, str) else "__axis"
-    placed = cells if isinstance(slices, str) else with_slices(cells, order, by, slices, at)
+    placed = cells if isinstance(slices, str) else with_slices(cells, order, by, slices, at, few)
     totals = placed.groupBy(*keys, at).agg(*(agg(c).alias(f"__t_{c}") for c in sums))
     before = Window.partitionBy(*keys).orderBy(arrow(at)).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, F.col(at).alias("__at"), *(agg(f"__t_{c}").over(before).alias(f"__s_{c}") for c in sums))
     inner = Window.partitionBy(*keys, at).orderBy(arrow(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = _join_slices(placed.withColumns({f"__c_{c}": agg(c).over(inner) for c in sums}), starts, keys, at)
+    out = _join_slices(placed.withColumns({f"__c_{c}": agg(c).over(inner) for c in sums}), starts, keys, at, few)
     joined = (lambda c: F.greatest(f"__c_{c}", f"__s_{c}")) if largest else (lambda c: F.col(f"__c_{c}") + F.coalesce(f"__s_{c}", F.lit(0.0)))
     return out.withColumns({f"cum_{c}": joined(c) for c in sums}).select(*cells.columns, *(f"cum_{c}" for c in sums))
 
