@@ -45,13 +45,16 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The model, the connected components and the tokenizer are beyond SQL; tests compare with brute force.
+#: The model, the connected components and the tokenizer are beyond SQL; tests/llm/test_pipeline.py compares every stage and the whole with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to ``documents``, each to the written result of the one before."""
+    """Applies STAGES to ``documents``, each to the written result of the one before; scratch tables of a stage go once it is written."""
     out = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        out = store.table(stage(spark, out, sf_dir), name)
+        with store.scratch(spark) as kept:
+            kept.append(store.table(stage(spark, out, sf_dir), name))
+        store.drop(out)
+        out = kept[0]
     return STAGES[-1][1](spark, out, sf_dir)
