@@ -27,7 +27,7 @@ def _join_slices(placed: DataFrame, starts: DataFrame, keys: list[str], slice_:
 
 def slice_edges(cells: DataFrame, order: str, by: By = None, slices: int = SLICES) -> DataFrame:
     """(by, __edges): approximate percentiles that cut the axis into ``slices``."""
-    cuts = F.split(F.lit(",".join(str((i + 1) / slices) for i in range(slices - 1))), ",").cast("array<double>")  # one literal, folded
+    cuts = doubles([(i + 1) / slices for i in range(slices - 1)])
     return cells.groupBy(*groups(by)).agg(F.percentile_approx(order, cuts, F.lit(min(10 * slices, 10_000))).alias("__edges"))
 
 
@@ -79,9 +79,14 @@ def search(df: DataFrame, edges: Column, n: int, value: str, out: str, below: bo
     return df.select("*", *columns).withColumnRenamed(names[-1], out).drop(*names[:-1])
 
 
+def doubles(values: Sequence[float]) -> Column:
+    """An array of doubles as one literal, which Catalyst folds; a literal for each value would be built one by one."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>") if values else F.array().cast("array<double>")
+
+
 def bin_index(df: DataFrame, value: str, cuts: Sequence[float], out: str) -> DataFrame:
     """Adds the number of sorted ``cuts`` that are at most ``value``."""
-    return search(df, F.array(*(F.lit(float(c)) for c in cuts)), len(cuts), value, out)
+    return search(df, doubles(cuts), len(cuts), value, out)
 
 
 def quantiles(df: DataFrame, value: str, levels: Sequence[float], out: str, by: By = None) -> DataFrame:
@@ -119,7 +124,7 @@ def at_thresholds(df: DataFrame, value: str, sums: dict[str, Column], thresholds
     up = Window.partitionBy(*keys).orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     out = full.withColumns({f"ge_{c}": F.sum(c).over(up) for c in sums} | {f"lt_{c}": F.coalesce(F.sum(c).over(down), F.lit(0.0)) for c in sums})
-    return out.filter("__bin > 0").select(*keys, F.get(F.array(*(F.lit(c) for c in cuts)), F.col("__bin") - 1).alias("threshold"), *(f"ge_{c}" for c in sums), *(f"lt_{c}" for c in sums))
+    return out.filter("__bin > 0").select(*keys, F.get(doubles(cuts), F.col("__bin") - 1).alias("threshold"), *(f"ge_{c}" for c in sums), *(f"lt_{c}" for c in sums))
 
 
 def next_at_least(targets: DataFrame, data: DataFrame, key: str, value: str, by: By = None) -> DataFrame:
