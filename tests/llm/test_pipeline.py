@@ -12,8 +12,8 @@ import corpus_pipeline
 from statspark.llm import decontam, pii, quality
 from statspark.llm.queries import tokenizer_path
 
-from .test_near_duplicates import brute_first
-from .test_scans import brute_graph
+from test_near_duplicates import brute_first
+from test_scans import brute_graph
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
