@@ -240,7 +240,7 @@ def components(docs: DataFrame, start: DataFrame | None, k: int, similarity: flo
         nonlocal start
         pairs = store.table((pairs if start is None else pairs.unionByName(start)).distinct(), "pairs")
         start = None
-        members = store.table(pairs.select(F.explode(F.array("u", "v")).alias("q")).distinct(), "members")
+        members = store.table(pairs.select(F.col("u").alias("q")).distinct().unionByName(pairs.select(F.col("v").alias("q")).distinct()).distinct(), "members")
         sets = store.table(shingle_sets(by_ids(docs, members, "left_semi"), k), "sets")
         near = _near(pairs, sets, similarity)
         # One pair for each member first, and then what is not yet in one component.
