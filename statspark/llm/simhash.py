@@ -200,4 +200,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", k: i
         kept = _kept_by_fingerprint(base, rid, doc_id, column)
     else:
         kept = _kept_by_similarity(base, rid, doc_id, column, k, similarity)
-    return base.join(kept, base[rid] == kept["kept"], "left_semi").drop(rid)
+    # The rows to be left out are fewer than those kept, and a broadcast list of them spares the texts a shuffle.
+    out = store.table(base.select(F.col(rid).alias("q")).join(kept, F.col("q") == F.col("kept"), "left_anti"), "out")
+    store.drop(kept)
+    return similar.by_ids(base, out, "left_anti", rid).drop(rid)

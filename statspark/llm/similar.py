@@ -184,10 +184,10 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, m int, " + "".join(f"x{j} long, " for j in range(PARITIES)) + "shingles array<long>")
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, node: str = "node") -> DataFrame:
     """Rows of ``docs`` whose node is (left_semi) or is not (left_anti) in the written list ``ids`` (q)."""
     few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, F.col("node") == F.col("q"), how)
+    return docs.join(F.broadcast(ids) if few else ids, docs[node] == ids["q"], how)
 
 
 def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -201,8 +201,14 @@ def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _similar(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """A written table of the pairs (u, v) whose whole sets are as similar."""
+    """A written table of the pairs (u, v) whose whole sets are as similar.
+
+    Up to BROADCAST_IDS pairs are broadcast, so that only sets of these pairs are shuffled, to meet at v.
+    """
     a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    if near.count() <= BROADCAST_IDS:
+        b = b.join(F.broadcast(near.select(F.col("v").alias("q")).distinct()), F.col("b") == F.col("q"), "left_semi")
+        near = F.broadcast(near)
     both = near.join(a, F.col("u") == F.col("a")).join(b, F.col("v") == F.col("b"))
     common = F.size(F.array_intersect("of_a", "of_b"))
     both = both.select("u", "v", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("total"))
@@ -280,7 +286,8 @@ def components(docs: DataFrame, start: DataFrame | None, k: int, similarity: flo
             store.drop(open_)
             break
         last = left <= PAIRWISE * n_rows or turn > ROUNDS
-        some = store.table(label.join(open_, F.col("key") == F.col("q"), "left_semi"), "label")
+        # Before the first link every key is open.
+        some = label if comp is None else store.table(label.join(open_, F.col("key") == F.col("q"), "left_semi"), "label")
         if last:
             other = some.select(F.col("key").alias("q"), F.col("v").alias("v2"), F.col("m").alias("m2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"), *(F.col(y).alias(f"{y}_2") for y in ys))
             smaller = (F.col("m") < F.col("m2")) | (F.col("m") == F.col("m2")) & (F.col("v") < F.col("v2"))

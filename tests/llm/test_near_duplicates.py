@@ -140,3 +140,59 @@ def test_shingles_and_fingerprints_depend_on_the_text_alone():
         assert similar.fingerprints(*alone)[0] == fp[i]
     bits = [(h >> np.uint64(b)) & np.uint64(1) for b in range(64)]
     assert int(fp[4]) == sum(1 << b for b, x in enumerate(bits) if 2 * x[3:5].sum() > 2)
+
+
+def shuffled(spark, run):
+    """The result of ``run()`` and the bytes that its stages shuffled."""
+    sc = spark._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        held = sc.statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (held.apply(i) for i in range(held.size()))}
+
+    before = stages()
+    out = run()
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+@pytest.fixture
+def no_small_tables(spark):
+    """As on large tables: nothing is broadcast for its size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_texts_are_not_shuffled_to_leave_some_out(spark, no_small_tables, similarity):
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(200)) for _ in range(200)]
+    rows = list(enumerate(texts + texts[:20]))
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA), k=simhash.SHINGLE, similarity=similarity)
+    out, n = shuffled(spark, kept.collect)
+    assert sorted(map(tuple, out)) == rows[:200]
+    assert n < sum(map(len, texts)) / 10
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_only_sets_of_pairs_are_shuffled(spark, monkeypatch, no_small_tables, most):
+    monkeypatch.setattr(similar, "BROADCAST_IDS", most)
+    rng = random.Random(7)
+    base = [[rng.getrandbits(62) for _ in range(200)] for _ in range(150)]
+    near = [[*s[:-n], *(rng.getrandbits(62) for _ in range(n))] for s, n in zip(base, (10, 22, 23, 60))]
+    sets = spark.createDataFrame(list(enumerate(base + near)), "node long, shingles array<long>")
+    pairs = spark.createDataFrame([(0, 150), (1, 151), (2, 152), (3, 153), (4, 5)], "u long, v long")
+    out, n = shuffled(spark, lambda: sorted(map(tuple, similar._similar(pairs, sets, 0.8).collect())))
+    assert out == [(0, 150), (1, 151)]
+    if most:
+        assert n < 8 * 200 * 20
+
+
+def test_lists_of_any_length_link_the_same(spark, monkeypatch, no_small_tables):
+    import corpus_pipeline
+
+    monkeypatch.setattr(similar, "BROADCAST_IDS", 0)
+    rows = corpus()
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == sorted((n, d or 0) for d, n in brute_first(rows))
