@@ -39,9 +39,11 @@ END_ID = 0
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n. The linear term stands for the layers besides attention.
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
 #: Bytes of text whose chunks are looked up together.
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Chunks whose ids are put in place together.
+PART = 1 << 16
 #: Distinct chunks of text whose ids a worker remembers; beyond it, it starts anew.
-REMEMBER = 1 << 19
+REMEMBER = 1 << 17
 
 #: White space followed by a space: there, not every space starts a chunk.
 _UNEVEN = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}] "
@@ -95,8 +97,9 @@ class Encoder:
         uneven = pc.match_substring_regex(column, _UNEVEN).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(column, " ")
         for_even = pc.dictionary_encode(split.flatten())
-        codes = for_even.indices.to_numpy().astype(np.int64)
+        codes = for_even.indices.to_numpy()
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        del split
         table: list[bytes] = [self.chunk(" " + x) for x in for_even.dictionary.to_pylist()]
         heads: dict[str, int] = {}
 
@@ -113,21 +116,30 @@ class Encoder:
         for i, head in enumerate(firsts):
             if uneven[i]:
                 first, *later = _BREAK.split(column[i].as_py())
-                parts.append(np.array([own(first), *(own(" " + x) for x in later)], dtype=np.int64))
+                parts.append(np.array([own(first), *(own(" " + x) for x in later)], dtype=np.int32))
             else:
                 seg = codes[bounds[i] : bounds[i + 1]].copy()
                 seg[0] = own(head)
                 parts.append(seg)
-            parts.append(np.array([end]))
+            parts.append(np.array([end], dtype=np.int32))
             ends[i] = len(parts[-2]) + 1
         order = np.concatenate(parts)
+        stops = np.cumsum(ends)
+        del parts, codes, for_even
         sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
         flat = np.frombuffer(b"".join(table), dtype="<u4")
+        del table
         at = np.cumsum(sizes) - sizes
         n = sizes[order]
         stop = np.cumsum(n)
-        ids = flat[np.repeat(at[order] - (stop - n), n) + np.arange(stop[-1])]
-        return ids, stop[np.cumsum(ends) - 1]
+        # A part at a time: places take twice the bytes of ids.
+        ids, edges = np.empty(stop[-1], dtype="<u4"), [*range(0, len(order), PART), len(order)]
+        for a, z in zip(edges, edges[1:]):
+            first, last = stop[a] - n[a], stop[z - 1]
+            place = np.repeat(at[order[a:z]] - (stop[a:z] - n[a:z]), n[a:z])
+            place += np.arange(first, last)
+            ids[first:last] = flat[place]
+        return ids, stop[stops - 1]
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -203,10 +203,10 @@ def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def _similar(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """A written table of the pairs (u, v) whose whole sets are as similar.
 
-    Up to BROADCAST_IDS pairs are broadcast, so that only sets of these pairs are shuffled, to meet at v.
+    Pairs of up to BROADCAST_IDS ids are broadcast, so that only sets of these pairs are shuffled, to meet at v.
     """
     a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
-    if near.count() <= BROADCAST_IDS:
+    if 2 * near.count() <= BROADCAST_IDS:
         b = b.join(F.broadcast(near.select(F.col("v").alias("q")).distinct()), F.col("b") == F.col("q"), "left_semi")
         near = F.broadcast(near)
     both = near.join(a, F.col("u") == F.col("a")).join(b, F.col("v") == F.col("b"))

@@ -209,3 +209,20 @@ def test_groups_are_joined_whatever_the_rounds(spark):
 def test_groups_are_joined_without_unlinked_rows(spark):
     out = sharding.shard(spark.createDataFrame([(i, f"pair {i // 2}") for i in range(2976)], SCHEMA)).collect()
     assert sorted(r.doc_id for r in out) == list(range(2976)) and cut(out) == 0
+
+
+def test_encoder_takes_few_times_the_bytes_of_its_ids():
+    import tracemalloc
+
+    rng = random.Random(8)
+    words = [f"w{rng.getrandbits(24):x}" for _ in range(5000)]
+    column = pa.array([" ".join(rng.choices(words, k=1000)) for _ in range(200)])
+    encoder = packing.Encoder(tokenizer_path())
+    encoder(column)
+    tracemalloc.start()
+    ids, ends = encoder(column)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4.5 * ids.nbytes
+    for t, a, z in zip(column.to_pylist()[:3], [0, *ends], ends):
+        assert ids[a : z - 1].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids and ids[z - 1] == packing.END_ID
