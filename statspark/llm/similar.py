@@ -32,7 +32,7 @@ COUNTERS = 1 << 22
 #: Parts of the sketch that are merged apart.
 PARTS = 16
 #: Longs of parities for each set, and in the rows of keys.
-PARITIES, FOLDED = 16, 4
+PARITIES, FOLDED = 16, 8
 #: Ids up to which a list of them is broadcast (8 bytes each); longer lists are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Pairs for each member of a key up to which all pairs are compared at once.

@@ -196,3 +196,21 @@ def test_lists_of_any_length_link_the_same(spark, monkeypatch, no_small_tables):
     rows = corpus()
     out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == sorted((n, d or 0) for d, n in brute_first(rows))
+
+
+def test_few_texts_just_below_the_similarity_become_pairs(spark, monkeypatch):
+    from statspark.llm import store
+
+    rng = random.Random(9)
+    base = [f"{rng.getrandbits(40):x}" for _ in range(300)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for at in rng.sample(range(5, 295, 10), 5):
+            w[at] = f"{rng.getrandbits(40):x}"
+        rows.append((i, " ".join(w)))
+    made, table = [], store.table
+    monkeypatch.setattr(store, "table", lambda df, name: made.append((name, out := table(df, name), out.count())) or out)
+    out = simhash.keep_one(spark.createDataFrame(rows, SCHEMA), k=5, similarity=0.8)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted((d, dict(rows)[d]) for d, _ in brute_first(rows))
+    assert sum(n for name, _, n in made if name == "pairs") < 100
