@@ -22,8 +22,11 @@ METHODS = ("standard", "percentile", "basic", "BCa")
 SAMPLERS = ("multinomial", "poisson")
 #: Distinct weights up to which BCa intervals of average precision and KS are offered: each weight has prefix sums of its own.
 JACKKNIFE_WEIGHTS = 1_000
-#: Rows up to which BCa intervals of any statistic are offered: it is evaluated once without each row.
-JACKKNIFE_ROWS = 10_000
+#: What `run` takes apart between the sums, means and counts of an expression.
+ARITHMETIC: dict[str, Callable[..., Column]] = {
+    "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b, "negative": lambda a: -a,
+    "try_divide": F.try_divide, "sqrt": F.sqrt, "abs": F.abs, "ln": F.ln, "exp": F.exp, "coalesce": F.coalesce,
+}
 
 
 def standard_interval(reps: DataFrame, point: DataFrame, alpha: float, by: By = None) -> DataFrame:
@@ -79,6 +82,37 @@ def bca_interval(reps: DataFrame, point: DataFrame, jack: DataFrame, alpha: floa
     return s.select(*keys, F.when(usable, pick("lo")).alias("lower"), "point", F.when(usable, pick("hi")).alias("upper"))
 
 
+def taken_apart(df: DataFrame, stat: Column) -> tuple[list[Column], Callable[[Callable[[int, str], Column]], Column]] | None:
+    """What an aggregate expression sums, averages or counts, and the expression as a function of those aggregates, by number and name.
+
+    None if it has other aggregates, or anything but ``ARITHMETIC`` and literals around them.
+    """
+    from pyspark.sql.classic.column import Column as Classic
+
+    if not isinstance(stat, Classic):
+        return None
+    column = lambda node: Classic(df.sparkSession._jvm.org.apache.spark.sql.Column(node))
+    args: list[Column] = []
+
+    def walk(node):  # noqa: ANN001, ANN202
+        kind = node.getClass().getSimpleName()
+        if kind == "Literal":
+            return lambda of, c=column(node): c
+        if kind == "Alias" or kind == "Cast" and node.dataType().simpleString() == "double":
+            return walk(node.child())
+        if kind != "UnresolvedFunction" or node.isDistinct():
+            return None
+        name, inner = node.functionName(), [node.arguments().apply(i) for i in range(node.arguments().size())]
+        if name in ("sum", "avg", "count") and len(inner) == 1 and "Window(" not in inner[0].toString():
+            args.append(F.lit(1) if inner[0].getClass().getSimpleName() == "UnresolvedStar" else column(inner[0]))
+            return lambda of, i=len(args) - 1: of(i, name)
+        parts = [walk(n) for n in inner] if name in ARITHMETIC else [None]
+        return None if None in parts else lambda of: ARITHMETIC[name](*(p(of) for p in parts))
+
+    whole = walk(stat._jc.node())
+    return None if whole is None else (args, whole)
+
+
 def running_before(steps: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Adds ``prior_<c>``: the value of rising column c at the step before, within ``lw``; 0 at the first.
 
@@ -348,7 +382,8 @@ class Bootstrap:
         ``as_expression``: stat(weight) gives an aggregate Column over ``df`` that honours
         the weight column's name, and stays in the JVM. Otherwise stat takes a pandas frame
         of one replicate, with drawn rows repeated, and gives a float; a replicate then
-        has to fit in one task's memory. BCa evaluates the statistic once without each row, so it is offered for at most JACKKNIFE_ROWS rows.
+        has to fit in one task's memory. BCa needs the statistic without each row. Arithmetic of sums, means and counts takes a row's own part off
+        the totals; any other statistic is evaluated once without each row, over rows x rows.
         """
         reps = self.replicates(df, key)
         cols = df.columns
@@ -365,15 +400,39 @@ class Bootstrap:
             return weighted.groupBy("iter").applyInPandas(one, "value double")
 
         point = evaluate(df.withColumns({"k": F.lit(1.0), "iter": F.lit(0)})).withColumnRenamed("value", "point")
-        return self._interval(evaluate(reps).select("value"), point, None, self._without_each(df, key, evaluate) if self.method == "BCa" else None)
-
-    def _without_each(self, df: DataFrame, key: str, evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        out = df.select(F.col(key).alias("iter")).limit(JACKKNIFE_ROWS + 1)
-        if (n := out.count()) > JACKKNIFE_ROWS:
-            raise NotImplementedError(f"BCa of any statistic leaves out each row in turn; at most {JACKKNIFE_ROWS} rows are allowed")
-        # Bounded: n * n rows.
-        pairs = df.crossJoin(F.broadcast(out)).withColumn("k", (F.col(key) != F.col("iter")).cast("double"))
-        return evaluate(pairs if n > 1 else pairs.filter(F.lit(False))).withColumn("times", F.lit(1.0)).filter("value IS NOT NULL AND NOT isnan(value)")
+        return self._interval(evaluate(reps).select("value"), point, None, self._without_each(df, key, evaluate, stat("k") if as_expression else None) if self.method == "BCa" else None)
+
+    def _without_each(self, df: DataFrame, key: str, evaluate: Callable[[DataFrame], DataFrame], stat: Column | None) -> DataFrame:
+        usable = "value IS NOT NULL AND NOT isnan(value)"
+        if stat is not None and (apart := taken_apart(df, stat)) is not None:
+            return self._off_totals(df, *apart).filter(usable)
+        ids = df.select(F.col(key).alias("iter"))
+        pairs = df.crossJoin(ids).withColumn("k", (F.col(key) != F.col("iter")).cast("double"))
+        return evaluate(pairs if ids.limit(2).count() > 1 else pairs.filter(F.lit(False))).withColumn("times", F.lit(1.0)).filter(usable)
+
+    def _off_totals(self, df: DataFrame, args: list[Column], whole: Callable[[Callable[[int, str], Column]], Column]) -> DataFrame:
+        """(value, times) without each row: totals, less what the row adds with weight 1, plus what it adds with weight 0.
+
+        Infinite values and NaN are counted apart, as they can't be taken off a sum.
+        """
+        inf = float("inf")
+        own = df
+        for side, weight in (("o", 1.0), ("z", 0.0)):
+            own = own.withColumn("k", F.lit(weight)).withColumns({f"__{side}{i}": a.cast("double") for i, a in enumerate(args)})
+        finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) < inf), x).otherwise(0.0)
+        kinds = {"sum": finite, "some": lambda x: x.isNotNull().cast("double"), "up": lambda x: (x == inf).cast("double"), "down": lambda x: (x == -inf).cast("double"), "nan": lambda x: F.isnan(x).cast("double")}
+        part = lambda side, i, k: F.coalesce(kinds[k](F.col(f"__{side}{i}")), F.lit(0.0))
+        each = [(i, k) for i in range(len(args)) for k in kinds]
+        totals = own.agg(F.count("*").alias("__n"), *(F.sum(part("o", i, k)).alias(f"__t_{k}{i}") for i, k in each))
+        left = own.select(*(c for i in range(len(args)) for c in (f"__o{i}", f"__z{i}"))).crossJoin(F.broadcast(totals)).filter("__n > 1")
+        left = left.select(*(F.col(f"__t_{k}{i}") - part("o", i, k) + part("z", i, k) for i, k in each)).toDF(*(f"{k}{i}" for i, k in each))
+
+        def of(i: int, name: str) -> Column:
+            some, up, down = (F.col(f"{k}{i}") > 0 for k in ("some", "up", "down"))
+            total = F.when((F.col(f"nan{i}") > 0) | (up & down), float("nan")).when(up, inf).when(down, -inf).when(some, F.col(f"sum{i}"))
+            return F.col(f"some{i}") if name == "count" else total / F.nullif(F.col(f"some{i}"), F.lit(0.0)) if name == "avg" else total
+
+        return left.select(whole(of).cast("double").alias("value"), F.lit(1.0).alias("times"))
 
 
 __all__ = ["Bootstrap", "METHODS", "SAMPLERS", "acceleration", "basic_interval", "bca_interval", "percentile_interval", "standard_interval"]

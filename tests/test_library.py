@@ -194,6 +194,36 @@ def test_jackknife_of_auc_against_brute_force(spark):
     assert len(got) == 24 and all(any(abs(w - g) < 1e-12 for g in got) for w in want)
 
 
+def test_run_without_each_row_against_brute_force(spark):
+    df = spark.range(40).select("id", F.when(F.col("id") % 7 != 0, F.pmod(F.xxhash64("id"), F.lit(100)).cast("double")).alias("x"))
+    b = bootstrap.Bootstrap(5, method="BCa", sampling_method="poisson", seed=1)
+    w = lambda k: F.col(k)
+    stats = [
+        lambda k: F.try_divide(F.sum(F.col("x") * w(k)), F.sum(k)), lambda k: F.sqrt(F.avg(F.when(w(k) > 0, F.col("x")))) + F.count("x") / F.lit(2), lambda k: -F.sum(w(k)).cast("double").alias("q"),
+        lambda k: F.max(F.col("x") * w(k)), lambda k: F.sum(w(k)) * F.max("x"), lambda k: F.expr("sum(x * k)"),
+    ]
+    for i, stat in enumerate(stats):
+        assert (bootstrap.taken_apart(df, stat("k")) is None) == (i > 2)
+        evaluate = lambda d, s=stat: d.groupBy("iter").agg(s("k").cast("double").alias("value")).select("value")
+        got = sorted(r.value for r in b._without_each(df, "id", evaluate, stat("k")).collect())
+        want = sorted(r.value for r in b._without_each(df, "id", evaluate, None).collect())
+        assert len(got) == 40 and got == pytest.approx(want)
+    odd = spark.createDataFrame([(0, 1.0), (1, math.inf), (2, None), (3, math.nan)], "id long, x double")
+    for bad in (3, None):
+        some = odd.filter(F.col("id") != bad) if bad is not None else odd
+        stat = F.sum(F.when(F.col("k") > 0, F.col("x")))
+        got = b._without_each(some, "id", lambda d, s=stat: d.groupBy("iter").agg(s.alias("value")).select("value"), stat).collect()
+        want = b._without_each(some, "id", lambda d, s=stat: d.groupBy("iter").agg(s.alias("value")).select("value"), None).collect()
+        assert sorted(r.value for r in got) == sorted(r.value for r in want)
+    assert b._without_each(odd.limit(1), "id", evaluate, stat).collect() == []
+
+
+def test_run_offers_bca_for_any_number_of_rows(spark):
+    df = spark.range(20_000).select("id", F.pmod(F.xxhash64("id"), F.lit(100)).cast("double").alias("x"))
+    r = bootstrap.Bootstrap(20, method="BCa", sampling_method="poisson", seed=1).run(df, "id", lambda k: F.try_divide(F.sum(F.col("x") * F.col(k)), F.sum(k)), as_expression=True).first()
+    assert r.lower < r.point < r.upper
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_jackknife_of_ranks_against_brute_force(spark, weighted):
     rows = [(i, int(i * 7 % 5 > 1), float(i * 13 % 6), float(1 + i % 3 if weighted else 1)) for i in range(18)] + [(18, 1, -1.0, 1.0)]
