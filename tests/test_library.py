@@ -96,6 +96,22 @@ def test_correlation_against_pandas(spark):
     assert m.columns == ["n", "a", "b", "c"] and m.count() == 3
 
 
+def test_spearman_counts_pairs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(x):
+        seen.add(1)
+        return float(x % 17)
+
+    rows = spark.range(300).select(watched.asNondeterministic()("id").alias("a"), (F.col("id") * 7 % 23).cast("double").alias("b"), F.lit(1.0).alias("c"))
+    got = {(r.c1, r.c2): r.value for r in correlation.correlations(rows, method="spearman").collect()}
+    assert seen.value == 300
+    want = rows.toPandas().rank().corr()
+    assert got[("a", "b")] == pytest.approx(want.loc["a", "b"]) and got[("a", "c")] is None and got[("b", "c")] is None
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_scalers_round_trip_and_save(spark, tmp_path):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (None, 5.0), (4.0, 5.0)], "a double, k double")
     for i, scaler in enumerate((preprocessing.MinMaxScaler((-1, 1)), preprocessing.StandardScaler(0), preprocessing.RobustScaler())):
