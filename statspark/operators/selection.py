@@ -48,9 +48,16 @@ def importance_of(state: State) -> list[float]:
 
 
 def auc_metric(model, df: DataFrame, label: str, features: Sequence[str]) -> float:  # noqa: ANN001
-    """ROC-AUC of the probability of class 1."""
+    """ROC-AUC of the probability of class 1.
+
+    Rows are scored once: those of a label and score are counted, and the counts are kept while AUC reads them.
+    """
     scored = model.transform(assemble(df, features)).select(F.col(label).alias("y"), F.get(vector_to_array("probability"), F.lit(1)).alias("s"))
-    return M.roc_auc(scored, "y", "s").first()["roc_auc"]
+    cells = scored.groupBy("y", "s").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return M.roc_auc(cells, "y", "s", weight="n").first()["roc_auc"]
+    finally:
+        cells.unpersist()
 
 
 class EarlyStopping:

@@ -112,6 +112,24 @@ def test_spearman_counts_pairs_once(spark):
     assert not spark.sparkContext._jsc.getPersistentRDDs()
 
 
+def test_auc_metric_scores_rows_once(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(x):
+        seen.add(1)
+        return x
+
+    df = spark.range(200).select((F.col("id") % 37).cast("double").alias("x"), F.when(F.col("id") % 9 != 0, (F.pmod(F.xxhash64("id"), F.lit(50)) < F.col("id") % 37).cast("double")).alias("y"))
+    model = LogisticRegression(featuresCol="__features", labelCol="y").fit(selection.assemble(df.dropna(), ["x"]))
+    got = selection.auc_metric(model, df.withColumn("x", watched.asNondeterministic()("x")), "y", ["x"])
+    assert seen.value == 200
+    assert got == pytest.approx(M.roc_auc(df, "y", "x").first()[0])
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_scalers_round_trip_and_save(spark, tmp_path):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (None, 5.0), (4.0, 5.0)], "a double, k double")
     for i, scaler in enumerate((preprocessing.MinMaxScaler((-1, 1)), preprocessing.StandardScaler(0), preprocessing.RobustScaler())):
